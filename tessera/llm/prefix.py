@@ -6,14 +6,14 @@ the next; tokens of up to 126 bytes keep it within -126..4), so that truncation
 are answered from the stored column alone, without the tokenizer.
 """
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm import bpe
 from tessera.llm.chunks import over_texts
@@ -61,10 +61,8 @@ def count_prefixes(docs: DataFrame, id: str = "doc_id", text: str = "text", budg
     return own.mapInArrow(over_texts(kernel), f"`{id}` {kind}, n_chars bigint, n_tokens bigint, prefix_deltas binary{answers}")
 
 
-@F.pandas_udf("bigint")
-def _count_at(deltas, chars):
-    import pandas as pd
-
+@F.pandas_udf(LongType())
+def _count_at(deltas: pd.Series, chars: pd.Series) -> pd.Series:
     def one(raw, n):
         if raw is None or n is None or n != n:
             return None
@@ -73,10 +71,8 @@ def _count_at(deltas, chars):
     return pd.Series([one(a, b) for a, b in zip(deltas, chars, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf("bigint")
-def _fit(deltas, budget):
-    import pandas as pd
-
+@F.pandas_udf(LongType())
+def _fit(deltas: pd.Series, budget: pd.Series) -> pd.Series:
     def one(raw, n):
         if raw is None or n is None or n != n:
             return None
