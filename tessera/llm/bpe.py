@@ -336,7 +336,8 @@ def prefix_counts(automaton: Automaton, texts: list[str]) -> np.ndarray:
     short = length <= SHARED_BYTES
     offset = np.cumsum(length) - length
     flat = np.zeros(int(length.sum()), np.int64)
-    flat[np.repeat(offset[short], length[short]) + runs(length[short])] = automaton.count[automaton.read(parts["data"], start[short], length[short], every=True)]
+    states = automaton.read(parts["data"], start[short], length[short], every=True)
+    flat[np.repeat(offset[short], length[short]) + runs(length[short])] = automaton.count[states]
     for i in np.flatnonzero(~short):
         flat[offset[i] : offset[i] + length[i]] = automaton.read_long(parts["data"][start[i] : start[i] + length[i]].tobytes())[1]
     by_byte = gather(flat, offset[at], length[at])
