@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import encoding, prefix
+from tessera.llm import encoding, langid, lm, mixing, neardup, prefix, quality
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op5_language": langid.op5_language,
     "op6_bpe": encoding.op6_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_prefix_counts": prefix.op8_prefix_counts,
+    "op9_backoff": lm.op9_backoff,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
+}
+ORACLE_SQL = {
+    "op1_mixing": mixing.SQL,
+    "op7_quality": quality.SQL,
+    "op9_backoff": lm.SQL,
+    "op10_near_duplicates": neardup.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
