@@ -1,32 +1,66 @@
-"""The corpus pipeline: its stages in order, each read from what the one before wrote."""
+"""The corpus pipeline: quality rules, language, near duplicates, source mix, tokens.
+
+Each stage takes the documents that the one before wrote and works on all of them. The first four
+return documents with their columns as they are; the last returns the tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import encoding
+from tessera.llm import encoding, langid, mixing, neardup, quality
 from tessera.plans.scratch import Scratch
 from tessera.sources.tables import table
 
+#: Share of the tokens left after the first three stages that the mix may have, by mixing.WEIGHTS.
+MIX_BUDGET = ("9/10",)
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the quality fences of their language and source (operator 7); empty ones go."""
+    return quality.keep_good(docs)
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the labelled languages (operator 5)."""
+    return langid.keep_known(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates, and all without any (operator 10)."""
+    return neardup.drop_copies(docs)
+
 
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE tokens of every document that is left."""
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix of sources at the target weights (operator 1)."""
+    return mixing.take(docs, budgets=MIX_BUDGET)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token_ids, n_tokens and round_trip of every document left (operator 6)."""
     return encoding.encode(docs)
 
 
-STAGES = [("bpe", encode_tokens)]
+STAGES = [
+    ("quality", good_documents),
+    ("language", known_languages),
+    ("near_duplicates", one_of_each_group),
+    ("mixing", mixed_sources),
+    ("bpe", encoded),
+]
+
+#: Language identification has no SQL; tests/llm hold the pipeline against a brute-force version.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on the documents of ``sf_dir``."""
+    """The result of all stages on the documents of ``sf_dir``. What a stage returns is written as
+    Parquet to the shared folder and read again by the next."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.write(docs, name)
-            if i > 1:
-                scratch.drop(STAGES[i - 2][0])
+            if i:
+                scratch.drop(STAGES[i - 1][0])
     return docs
-
-
-ORACLE_SQL = None
