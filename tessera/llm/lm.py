@@ -4,7 +4,8 @@ The relations are n-grams of documents, count tables partitioned by hash, and th
 document. A row of them is not one n-gram but a column chunk: all distinct n-grams of one order that a
 chunk of documents has in one hash bucket, as sorted 64-bit hashes (packed as differences) with their
 counts. So one shuffle by (order, bucket) brings together what is to be counted, the counts go back
-along it to their chunk, and there they are joined with the n-grams in document order:
+along it to their chunk, and there they are joined with the n-grams in document order. n-grams of three
+and more words follow in a further round, and only those whose parts are frequent enough:
 
     S(w | u v) = f(u v w) / f(u v)           if f(u v w) >= least
                = a * f(v w) / f(v)           else if f(v w) >= least
@@ -73,18 +74,64 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({"chunk": pa.array(chunk, pa.int32()), "ord": pa.array(order, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
+def _by_bucket(chunk: int, n: int, h: np.ndarray, bits: int) -> list[tuple]:
+    """The distinct n-grams of a chunk with their counts, one row for each hash bucket."""
+    keys, f = np.unique(h, return_counts=True)
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return [(chunk, n, int(bucket[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(f[a:b])) for a, b in zip(heads, [*heads[1:], len(keys)], strict=True)]
+
+
 def _explode(bits: int, order: int):
+    """n-grams of 1 .. min(order, 2) words of a chunk."""
+
     def run(t: pa.Table) -> pa.Table:
-        chunk, rows = t.column("chunk")[0].as_py(), []
+        chunk = t.column("chunk")[0].as_py()
+        words, counts = _chunk(t)
+        return _rows([r for n in range(1, min(order, 2) + 1) for r in _by_bucket(chunk, n, _grams(words, counts, n)[0], bits)])
+
+    return run
+
+
+def _totals(counted: pa.Table) -> dict[int, np.ndarray]:
+    """By order, the corpus counts of the distinct n-grams of a chunk, in order of their hashes."""
+    rows: dict[int, list[tuple[int, bytes]]] = {}
+    for o, b, c in zip(counted.column("ord").to_pylist(), counted.column("bucket").to_pylist(), counted.column("counts").to_pylist(), strict=True):
+        rows.setdefault(o, []).append((b, c))
+    return {o: np.concatenate([_unpack(c) for _, c in sorted(x)]) for o, x in rows.items()}
+
+
+def _placed(words: np.ndarray, counts: np.ndarray, n: int, totals: dict[int, np.ndarray], below: np.ndarray | None, least: int) -> np.ndarray:
+    """The corpus count of the n-gram that ends at each word, 0 where there is none in the tables."""
+    h, last = _candidates(words, counts, n, below, least)
+    keys, at = np.unique(h, return_inverse=True)
+    found = totals.get(n, np.zeros(0, np.uint64))
+    if len(found) != len(keys):
+        raise RuntimeError("the documents of a chunk changed between counting and scoring")
+    out = np.zeros(len(words))
+    out[last] = found[at]
+    return out
+
+
+def _candidates(words: np.ndarray, counts: np.ndarray, n: int, below: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams that may be frequent enough: from three words on those whose first and last n - 1 words
+    are, as no n-gram is more frequent than its parts. ``below`` has the counts of those."""
+    h, last = _grams(words, counts, n)
+    if n > 2:
+        some = (below[last] >= least) & (below[last - 1] >= least)
+        h, last = h[some], last[some]
+    return h, last
+
+
+def _explode_next(bits: int, n: int, least: int):
+    """n-grams of a chunk, n > 2, that can be frequent enough by the counts of n - 1 words."""
+
+    def run(t: pa.Table, counted: pa.Table) -> pa.Table:
         words, counts = _chunk(t)
-        for n in range(1, order + 1):
-            h, _ = _grams(words, counts, n)
-            keys, f = np.unique(h, return_counts=True)
-            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(heads, [*heads[1:], len(keys)], strict=True):
-                rows.append((chunk, n, int(bucket[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(f[a:b])))
-        return _rows(rows)
+        totals, below = _totals(counted), None
+        for k in range(2, n):
+            below = _placed(words, counts, k, totals, below, least)
+        return _rows(_by_bucket(t.column("chunk")[0].as_py(), n, _candidates(words, counts, n, below, least)[0], bits) if t.num_rows else [])
 
     return run
 
@@ -103,19 +150,9 @@ def _count(t: pa.Table) -> pa.Table:
 def _score(order: int, backoff: float, least: int, total: int, kind: pa.DataType):
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         words, n = _chunk(docs)
-        found: dict[int, list[tuple[int, bytes]]] = {}
-        for o, b, c in zip(counted.column("ord").to_pylist(), counted.column("bucket").to_pylist(), counted.column("counts").to_pylist(), strict=True):
-            found.setdefault(o, []).append((b, c))
-        f = []  # by order: the corpus count of the n-gram that ends at each word, 0 where there is none
+        totals, f = _totals(counted), []
         for o in range(1, order + 1):
-            h, last = _grams(words, n, o)
-            keys, at = np.unique(h, return_inverse=True)
-            totals = np.concatenate([np.zeros(0, np.uint64), *(_unpack(c) for _, c in sorted(found.get(o, [])))])
-            if len(totals) != len(keys):
-                raise RuntimeError("the documents of a chunk changed between counting and scoring")
-            x = np.zeros(len(words))
-            x[last] = totals[at]
-            f.append(x)
+            f.append(_placed(words, n, o, totals, f[-1] if f else None, least))
         log = np.zeros(len(words))
         open_ = np.ones(len(words), bool)
         for o in range(order, 1, -1):
@@ -139,7 +176,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     orders they have, with the backoff factor for each that is missing. A null, empty or wordless text
     has 0 words and a score of 0; null ids are kept; repeated rows are counted and scored each; other
     columns are not looked at; an empty table gives an empty one. A chunk holds whole documents, so
-    one very long text makes one large chunk."""
+    one very long text makes one large chunk. ``least`` must be 1 or more."""
     own = pick(docs, id=id, text=text)
     kind = own.schema["id"].dataType
     words = F.regexp_count(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
@@ -148,6 +185,9 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     bits = max(0, math.ceil(math.log2(chunks)))
     kept = own.withColumn("chunk", F.pmod(F.xxhash64("text", "id"), F.lit(chunks)).cast("int"))
     counted = kept.groupBy("chunk").applyInArrow(_explode(bits, order), _OUT).groupBy("ord", "bucket").applyInArrow(_count, _OUT)
+    for n in range(3, order + 1):
+        more = kept.groupBy("chunk").cogroup(counted.filter("ord > 1").groupBy("chunk")).applyInArrow(_explode_next(bits, n, least), _OUT)
+        counted = counted.unionByName(more.groupBy("ord", "bucket").applyInArrow(_count, _OUT))
     arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
     scored = kept.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(order, backoff, least, total or 0, arrow), f"id {kind.simpleString()}, n_words bigint, log_score double")
     return scored.withColumnRenamed("id", id)
