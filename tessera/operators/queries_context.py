@@ -63,7 +63,7 @@ def j09(spark, d):
 
 @query("j10_evidence_semijoin", "select seq, source_name from (select * from graph_edges order by seq desc, source_name limit 100) where evidence[1]::bigint % 2 = 0")
 def j10(spark, d):
-    keys = graph_edges(spark, d).select(F.explode("evidence").cast("bigint").alias("id")).filter("id % 2 = 0").distinct()
+    keys = graph_edges(spark, d).select(F.explode("evidence").alias("id")).select(F.col("id").cast("bigint")).filter("id % 2 = 0").distinct()
     return context.edges_with_evidence(graph_edges(spark, d), keys).select("seq", "source_name")
 
 
@@ -332,7 +332,7 @@ _docs("f23_expiry", f"case when doc_id % 5 > 0 then make_timestamp(({AS_OF} + do
 _docs("f26_unfence", "'{\"k\": ' || doc_id || '}'", lambda t, x, a, b: text.unfence(F.concat(F.when(x % 2 == 0, "```json\n").otherwise(" "), F.lit('{"k": '), x.cast("string"), F.lit("}"), F.when(x % 2 == 0, "\n```").otherwise("\n"))))
 _docs("f30_query_lists", f"case when doc_id % 2 = 0 then {_UNIQ('string_split(lang || chr(44) || source || chr(44) || upper(lang) || chr(44), chr(44))')} else [] end", lambda t, x, a, b: F.when(text.truthy(_pick(x, "ON", "no")), lists.unique(F.split(F.concat_ws(",", a, b, F.upper(a), F.lit("")), ","))).otherwise(F.array().cast("array<string>")))
 _docs("f31_join_helpers", "case when doc_id % 2 = 0 then lang || ', ' || source else 'none' end || ' (likelihood ' || (doc_id % 100) || '%)'", lambda t, x, a, b: text.with_likelihood(text.join_or(F.when(x % 2 == 0, F.array(a, b)).otherwise(F.array().cast("array<string>")), ", "), (x % 100) / 100, F.lit(True)))
-_docs("f35_label_text", "'lang=\"' || lang || '\",source=\"' || source || '\\\\\"\"'", lambda t, x, a, b: text.labels_text(F.create_map(F.lit("source"), F.concat(b, F.lit('"')), F.lit("lang"), a)))
+_docs("f35_label_text", "'lang=\"' || lang || '\",source=\"' || source || '\\\"\"'", lambda t, x, a, b: text.labels_text(F.create_map(F.lit("source"), F.concat(b, F.lit('"')), F.lit("lang"), a)))
 _docs("f36_quoted", "'\"' || replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(9), '\\t') || '\"'", lambda t, x, a, b: text.quoted(t))
 _docs("u01_ordered_union", _UNIQ("list_concat([lang, source], [upper(source), 'z'])"), lambda t, x, a, b: lists.union(F.array(a, b), F.array(F.upper(b), F.lit("z"))))
 _docs("u03_token_set_ops", "len(list_intersect(list_distinct(string_split(lang || ' x y', ' ')), ['x', 'en']))::bigint", lambda t, x, a, b: F.size(F.array_intersect(F.array_distinct(F.split(F.concat(a, F.lit(" x y")), " ")), F.array(F.lit("x"), F.lit("en")))).cast("bigint"))

@@ -171,7 +171,7 @@ def k06(spark, d):
     return store.replace_by_key(o.filter("seq % 2 = 0"), o.filter("seq % 2 = 1"), ["user_id", "topic_id"], "seq").select("user_id", "topic_id", "stance", "seq")
 
 
-@query("k07_edge_upsert", """select user_id, outcome_id, arg_min(source_name, seq) as source_name, arg_min(target_name, seq) as target_name, arg_max(confidence, seq) as confidence, arg_max(evidence, seq) as evidence, max(seq) as seq
+@query("k07_edge_upsert", """select user_id, outcome_id, arg_min(source_name, seq) as source_name, arg_min(target_name, seq) as target_name, max({'s': seq, 'c': confidence}).c as confidence, arg_max(evidence, seq) as evidence, max(seq) as seq
     from graph_edges where outcome_id is not null group by user_id, outcome_id, lower(source_kind), lower(source_name), lower(target_kind), lower(target_name), lower(relationship)
     union all select user_id, outcome_id, source_name, target_name, confidence, evidence, seq from graph_edges where outcome_id is null""")
 def k07(spark, d):

@@ -66,9 +66,10 @@ EDGE = ["source_kind", "source_name", "target_kind", "target_name", "relationshi
 
 def upsert_edges(df: DataFrame, order: str = "seq") -> DataFrame:
     """Within an outcome an edge is known by its five names in lower case; the first casing and
-    the last values stay. Rows without outcome are all kept."""
+    the last values stay, of equal times those of the larger confidence. Rows without outcome are all
+    kept."""
     lower = [F.lower(c).alias(f"_{c}") for c in EDGE]
-    known = df.filter("outcome_id is not null").groupBy("user_id", "outcome_id", *lower).agg(F.min_by(F.struct(*EDGE), order).alias("names"), F.max_by(F.struct("confidence", "evidence", order), order).alias("values"))
+    known = df.filter("outcome_id is not null").groupBy("user_id", "outcome_id", *lower).agg(F.min_by(F.struct(*EDGE), order).alias("names"), F.max(F.struct(order, "confidence", "evidence")).alias("values"))
     known = known.select("user_id", "outcome_id", "names.*", "values.*")
     return known.unionByName(df.filter("outcome_id is null").select(*known.columns))
 
