@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.columns import numbered, position
-from tessera.plans.scratch import SMALL_ROWS
+from tessera.plans.scratch import Scratch, small
 from tessera.sources.tables import table
 
 SIGNS = r"[#$%&*|!<>{}~^=+@\\/]"
@@ -77,13 +77,10 @@ def fences(docs: DataFrame, lang: str = "lang", source: str = "source", text: st
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", rules: tuple[Rule, ...] = RULES, min_docs: int = 50) -> DataFrame:
     """All columns of ``docs`` as ``_c0, _c1, ...``, the measures ``_m0, ...`` in the order of
-    ``measures`` and ``_keep``. The fences are collected once (one row a language and source) and
-    joined by broadcast up to SMALL_ROWS rows, by shuffle beyond."""
+    ``measures`` and ``_keep``. The fences (one row a language and source) are written once and joined by
+    broadcast up to SMALL_ROWS rows, by shuffle beyond."""
     spark, flat = docs.sparkSession, numbered(docs)
-    limit = fences(docs, lang, source, text, rules, min_docs)
-    rows = limit.limit(SMALL_ROWS + 1).collect()
-    if len(rows) <= SMALL_ROWS:
-        limit = F.broadcast(spark.createDataFrame(rows, limit.schema))
+    limit = small(Scratch(spark, "quality").write(fences(docs, lang, source, text, rules, min_docs), "fences"))
     limit = limit.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"{r.name}_max" for r in rules))
     found = measures(F.col(f"_c{position(docs, text)}"))
     flat = flat.select("*", *(c.alias(f"_m{i}") for i, c in enumerate(found.values())))
