@@ -4,8 +4,9 @@ The relations are n-grams of documents, count tables partitioned by hash, and th
 document. A row of them is not one n-gram but a column chunk: all distinct n-grams of one order that a
 chunk of documents has in one hash bucket, as sorted 64-bit hashes (packed as differences) with their
 counts. So one shuffle by (order, bucket) brings together what is to be counted, the counts go back
-along it to their chunk, and there they are joined with the n-grams in document order. n-grams of three
-and more words follow in a further round, and only those whose parts are frequent enough:
+along it to their chunk, and there they are joined with the n-grams in document order. All orders are
+counted in that one round; only with ``least`` above 1 do n-grams of three and more words follow in
+further rounds, and then only those whose parts are frequent enough:
 
     S(w | u v) = f(u v w) / f(u v)           if f(u v w) >= least
                = a * f(v w) / f(v)           else if f(v w) >= least
@@ -30,8 +31,8 @@ from tessera.sources.tables import table
 
 ORDER = 3
 BACKOFF = 0.4
-#: n-grams of two or more words that the corpus has less often are not in the count tables.
-LEAST = 2
+#: n-grams of two or more words that the corpus has less often are not in the count tables; at 1 all are.
+LEAST = 1
 #: Bytes of text of a chunk, on average.
 CHUNK_BYTES = 12_000_000
 
@@ -82,13 +83,18 @@ def _by_bucket(chunk: int, n: int, h: np.ndarray, bits: int) -> list[tuple]:
     return [(chunk, n, int(bucket[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(f[a:b])) for a, b in zip(heads, [*heads[1:], len(keys)], strict=True)]
 
 
+def _first(order: int, least: int) -> int:
+    """The longest n-grams of the first round: all where every n-gram counts, else those of two words."""
+    return order if least <= 1 else min(order, 2)
+
+
 def _explode(bits: int, order: int):
-    """n-grams of 1 .. min(order, 2) words of a chunk."""
+    """n-grams of 1 .. order words of a chunk."""
 
     def run(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
         words, counts = _chunk(t)
-        return _rows([r for n in range(1, min(order, 2) + 1) for r in _by_bucket(chunk, n, _grams(words, counts, n)[0], bits)])
+        return _rows([r for n in range(1, order + 1) for r in _by_bucket(chunk, n, _grams(words, counts, n)[0], bits)])
 
     return run
 
@@ -114,10 +120,10 @@ def _placed(words: np.ndarray, counts: np.ndarray, n: int, totals: dict[int, np.
 
 
 def _candidates(words: np.ndarray, counts: np.ndarray, n: int, below: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that may be frequent enough: from three words on those whose first and last n - 1 words
-    are, as no n-gram is more frequent than its parts. ``below`` has the counts of those."""
+    """n-grams that may be frequent enough: all if ``least`` is 1, else from three words on those whose first
+    and last n - 1 words are, as no n-gram is more frequent than its parts. ``below`` has their counts."""
     h, last = _grams(words, counts, n)
-    if n > 2:
+    if n > 2 and least > 1:
         some = (below[last] >= least) & (below[last - 1] >= least)
         h, last = h[some], last[some]
     return h, last
@@ -184,8 +190,8 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     chunks = max(1, math.ceil((size or 0) / chunk_bytes))
     bits = max(0, math.ceil(math.log2(chunks)))
     kept = own.withColumn("chunk", F.pmod(F.xxhash64("text", "id"), F.lit(chunks)).cast("int"))
-    counted = kept.groupBy("chunk").applyInArrow(_explode(bits, order), _OUT).groupBy("ord", "bucket").applyInArrow(_count, _OUT)
-    for n in range(3, order + 1):
+    counted = kept.groupBy("chunk").applyInArrow(_explode(bits, _first(order, least)), _OUT).groupBy("ord", "bucket").applyInArrow(_count, _OUT)
+    for n in range(_first(order, least) + 1, order + 1):
         more = kept.groupBy("chunk").cogroup(counted.filter("ord > 1").groupBy("chunk")).applyInArrow(_explode_next(bits, n, least), _OUT)
         counted = counted.unionByName(more.groupBy("ord", "bucket").applyInArrow(_count, _OUT))
     arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
@@ -204,8 +210,8 @@ SQL = f"""
     p as (select k, i, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a
         from (select k, w, unnest(range(1, len(w) + 1)) as i from w)),
     f1 as (select c as x, count(*) as f from p group by all),
-    f2 as (select b as x, c as y, count(*) as f from p where b is not null group by all having count(*) >= {LEAST}),
-    f3 as (select a as x, b as y, c as z, count(*) as f from p where a is not null group by all having count(*) >= {LEAST}),
+    f2 as (select b as x, c as y, count(*) as f from p where b is not null group by all having count(*) >= 2),
+    f3 as (select a as x, b as y, c as z, count(*) as f from p where a is not null group by all having count(*) >= 2),
     s as (select p.k, case
             when t.f is not null then ln(t.f / h.f)
             when u.f is not null then ln({BACKOFF}) + ln(u.f / v.f)

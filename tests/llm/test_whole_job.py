@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
-from tessera.llm import langid
+import pytest
+
+from tessera.llm import langid, lm
 from tessera.sources.tables import table
 
 UNSEEN = [
@@ -28,3 +33,20 @@ def test_unseen_languages_and_noise_have_no_language(spark):
     assert langid.keep_known(rows, model=model).count() == 0
     own = langid.identify(docs.filter("doc_id % 2 = 1").select("text"), model=model).filter("length(_c0) > 40").collect()
     assert sum(r["_language"] == langid.UNKNOWN for r in own) < 0.01 * len(own)
+
+
+def test_backoff_counts_what_occurs_once(spark, data):
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    words = {r["doc_id"]: re.findall("[0-9a-z\u0080-\U0010ffff]+", (r["text"] or "").lower()) for r in docs.collect()}
+    f = [Counter(tuple(w[i : i + n]) for w in words.values() for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(f[0].values())
+
+    def s(w, i):
+        if i > 1:
+            return math.log(f[2][tuple(w[i - 2 : i + 1])] / f[1][tuple(w[i - 2 : i])])
+        if i:
+            return math.log(lm.BACKOFF) + math.log(f[1][tuple(w[i - 1 : i + 1])] / f[0][(w[i - 1],)])
+        return 2 * math.log(lm.BACKOFF) + math.log(f[0][(w[i],)] / total)
+
+    want = {k: sum(s(w, i) for i in range(len(w))) for k, w in words.items()}
+    assert {r["doc_id"]: r["log_score"] for r in lm.op9_backoff(spark, data).collect()} == pytest.approx(want, abs=1e-3)
