@@ -22,6 +22,9 @@ SIGNS = r"[#$%&*|!<>{}~^=+@\\/]"
 BLANKS = r"[^ \t\n\r]+"
 #: Values that a sketch holds one by one before it starts to thin them; its rank error is then 0.2 %.
 SKETCH_K = 1024
+#: Words of a window in which words are held against each other, and of a passage sought in longer texts.
+WINDOW = 1000
+PASSAGE = 8
 
 
 @dataclass(frozen=True)
@@ -36,9 +39,24 @@ class Rule:
 RULES = (Rule("symbol_ratio", 3.0, 0.015), Rule("upper_ratio", 3.0, 0.08), Rule("repeat_ratio", 3.0, 0.08))
 
 
+def _repeats(words: Column, n: Column) -> Column:
+    """Share of repeated words, free of the length of the text. Each window of WINDOW words counts those
+    that it has before, all windows together cover the text. What repeats over longer distances is the
+    share of passages of PASSAGE words that occurred before anywhere in the text; the larger one counts."""
+
+    def long(w: Column) -> Column:
+        near = F.transform(w, lambda x, i: F.xxhash64(x, F.floor(i / WINDOW)))
+        far = F.transform(F.sequence(F.lit(0), F.size(w) - PASSAGE), lambda i: F.xxhash64(*(w[i + k] for k in range(PASSAGE))))
+        return F.greatest(*(1 - F.size(F.array_distinct(x)) / F.size(x) for x in (near, far)))
+
+    bound = F.transform(F.array(words), long)  # so that the words are split once, not for each of them
+    return F.when(n <= WINDOW, 1 - F.size(F.array_distinct(words)) / n).otherwise(bound[0])
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Per document: shares of signs and of capitals (two capitals are free, for names and sentence
-    starts of very short texts) among the characters, and the share of words that occurred before.
+    starts of very short texts) among the characters, and the share of words that occurred before in their
+    window (see ``_repeats``).
     All are null for a null text or one of blanks only."""
     words = F.regexp_extract_all(text, F.lit(BLANKS), F.lit(0))
     n, chars = F.size(words), F.length(text)
@@ -46,7 +64,7 @@ def measures(text: Column) -> dict[str, Column]:
     return {
         "symbol_ratio": F.when(some, F.regexp_count(text, F.lit(SIGNS)) / chars),
         "upper_ratio": F.when(some, F.greatest(F.regexp_count(text, F.lit("[A-Z]")) - 2, F.lit(0)) / chars),
-        "repeat_ratio": F.when(some, 1 - F.size(F.array_distinct(words)) / n),
+        "repeat_ratio": F.when(some, _repeats(words, n)),
     }
 
 

@@ -7,9 +7,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
-from tessera.llm import langid, lm
+from tessera.llm import langid, lm, quality
 from tessera.sources.tables import table
 
 UNSEEN = [
@@ -50,3 +51,23 @@ def test_backoff_counts_what_occurs_once(spark, data):
 
     want = {k: sum(s(w, i) for i in range(len(w))) for k, w in words.items()}
     assert {r["doc_id"]: r["log_score"] for r in lm.op9_backoff(spark, data).collect()} == pytest.approx(want, abs=1e-3)
+
+
+def test_quality_of_very_long_documents(spark):
+    d = "/root/testdata/sf0.1"
+    good = duckdb.execute(f"select min(text) from '{d}/documents.parquet' join '{d}/labels.parquet' using (doc_id) where lang = 'en' and quality = 1 group by text order by min(doc_id)").fetchall()
+    prose = [w for (t,) in good for w in re.findall("[^ \t\n\r]+", t)]
+    prose = prose[:200_000]
+    passage = prose[:2000]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    long = [(-1, " ".join(prose)), (-2, " ".join(passage * 50)), (-3, "spam and ham " * 20_000)]
+    rows = spark.createDataFrame([(i, t, "en", f"src{k}") for i, t in long for k in range(2)], docs.schema)
+    kept = [r["doc_id"] for r in quality.keep_good(docs.unionByName(rows)).filter("doc_id < 0").select("doc_id").collect()]
+    assert len(prose) == 200_000
+    assert kept == [-1] * 2
+    got = {r["_c0"]: r["_m2"] for r in quality.judge(rows.filter("source = 'src0'")).select("_c0", "_m2").collect()}
+    for i, t in long:
+        w = t.split()
+        near = 1 - sum(len(set(w[a : a + quality.WINDOW])) for a in range(0, len(w), quality.WINDOW)) / len(w)
+        far = [tuple(w[a : a + quality.PASSAGE]) for a in range(len(w) - quality.PASSAGE + 1)]
+        assert got[i] == pytest.approx(max(near, 1 - len(set(far)) / len(far)), abs=1e-9)
