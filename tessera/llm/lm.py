@@ -2,22 +2,26 @@
 
 The relations are n-grams of documents, count tables partitioned by hash, and their join, summed per
 document. A row of them is not one n-gram but a column chunk: all distinct n-grams of one order that a
-chunk of documents has in one hash bucket, as sorted 64-bit hashes (packed as differences) with their
-counts. So one shuffle by (order, bucket) brings together what is to be counted, the counts go back
-along it to their chunk, and there they are joined with the n-grams in document order. All orders are
-counted in that one round; only with ``least`` above 1 do n-grams of three and more words follow in
-further rounds, and then only those whose parts are frequent enough:
-
-    S(w | u v) = f(u v w) / f(u v)           if f(u v w) >= least
-               = a * f(v w) / f(v)           else if f(v w) >= least
+chunk of documents has in one hash bucket, as sorted hashes (packed as differences) with their counts.
+So one shuffle by (order, bucket) brings together what is to be counted, already combined within its
+chunk; the counts go back along it to their chunk, and there they are joined with the n-grams in document
+order. An n-gram of any count is in the tables, those that occur once too:
+
+    S(w | u v) = f(u v w) / f(u v)           if f(u v w) > 0
+               = a * f(v w) / f(v)           else if f(v w) > 0
                = a * a * f(w) / N            else
 
-Chunks and buckets grow in number with the corpus, not in size.
+What is shuffled is the texts once (compressed), a packed hash a distinct n-gram and chunk, and its
+count back. Hashes have as many bits as keep the chance of an n-gram to share its hash with another under
+2^-SPARE at the size of the corpus. Chunks and buckets grow in number with the corpus, not in size; the
+rows between them by the square, with ever fewer n-grams each, so ``chunk_bytes`` should be as large as
+executors allow on very large corpora.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,117 +31,111 @@ from pyspark.sql import functions as F
 from tessera.llm.chunks import pieces
 from tessera.llm.words import WORDS_SQL, ngram_hashes, word_hashes
 from tessera.plans.columns import pick
+from tessera.plans.scratch import Scratch
 from tessera.sources.tables import table
 
 ORDER = 3
 BACKOFF = 0.4
-#: n-grams of two or more words that the corpus has less often are not in the count tables; at 1 all are.
-LEAST = 1
 #: Bytes of text of a chunk, on average.
 CHUNK_BYTES = 12_000_000
+#: Bits of an n-gram's hash beyond those that number the n-grams of the corpus.
+SPARE = 27
+#: Bytes of text that a task gathers before it packs them by chunk.
+HELD_BYTES = 24_000_000
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """uint64 values by planes of bytes, so that high zero bytes cost nothing once compressed."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """uint64 values by planes of bytes, compressed, so that high zero bytes cost nothing."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
-
-
-def _chunk(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, words of each document) of a table of documents."""
-    words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for b in t.select(["id", "text"]).to_batches():
+    plain = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+_TEXTS = "chunk int, texts binary"
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, text, chunk) to rows of many: a compressed Arrow stream of those of one chunk."""
+    held, size = [], 0
+
+    def packed() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        chunk = t.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        own, ends = np.unique(chunk[order], return_index=True)
+        rows = []
+        for part in np.split(order, ends[1:]):
+            sink = pa.BufferOutputStream()
+            body = t.select(["id", "text"]).take(pa.array(part)).combine_chunks()
+            with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(body)
+            rows.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "texts"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= HELD_BYTES:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
+
+
+def _documents(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The documents (id, text) of the rows of a chunk."""
+    for raw in t.column("texts"):
+        yield from pa.ipc.open_stream(raw.as_buffer())
+
+
+def _chunk(t: pa.Table) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """(ids, word hashes, words of each document) of a chunk."""
+    ids, words, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in _documents(t):
+        ids.append(b.column("id"))
         for lo in range(0, b.num_rows, 500):
             part = b.slice(lo, 500)
-            for _, own in pieces(part.column(0), [x or "" for x in part.column(1).to_pylist()]):
+            for _, own in pieces(part.column("id"), [x or "" for x in part.column("text").to_pylist()]):
                 h, n = word_hashes(own)
                 words.append(h)
                 counts.append(n)
-    return np.concatenate(words), np.concatenate(counts)
+    return ids, np.concatenate(words), np.concatenate(counts)
 
 
-def _grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the n-grams inside documents, index of the last word of each)."""
+def _grams(words: np.ndarray, counts: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of ``width`` bits of the n-grams inside documents, index of the last word of each)."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     last = np.flatnonzero(place >= n - 1)
-    return ngram_hashes(words, n)[last - (n - 1)] if len(last) else np.zeros(0, np.uint64), last
+    hashes = ngram_hashes(words, n)[last - (n - 1)] if len(last) else np.zeros(0, np.uint64)
+    return hashes >> np.uint64(64 - width), last
 
 
 _OUT = "chunk int, ord int, bucket int, keys binary, counts binary"
+_SCHEMA = pa.schema([("chunk", pa.int32()), ("ord", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    chunk, order, bucket, keys, counts = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.table({"chunk": pa.array(chunk, pa.int32()), "ord": pa.array(order, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-
-def _by_bucket(chunk: int, n: int, h: np.ndarray, bits: int) -> list[tuple]:
-    """The distinct n-grams of a chunk with their counts, one row for each hash bucket."""
-    keys, f = np.unique(h, return_counts=True)
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(chunk, n, int(bucket[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(f[a:b])) for a, b in zip(heads, [*heads[1:], len(keys)], strict=True)]
-
-
-def _first(order: int, least: int) -> int:
-    """The longest n-grams of the first round: all where every n-gram counts, else those of two words."""
-    return order if least <= 1 else min(order, 2)
-
-
-def _explode(bits: int, order: int):
-    """n-grams of 1 .. order words of a chunk."""
+def _explode(bits: int, order: int, width: int):
+    """The distinct n-grams of 1 .. order words of a chunk with their counts, a row for each bucket that
+    has any."""
 
     def run(t: pa.Table) -> pa.Table:
-        chunk = t.column("chunk")[0].as_py()
-        words, counts = _chunk(t)
-        return _rows([r for n in range(1, order + 1) for r in _by_bucket(chunk, n, _grams(words, counts, n)[0], bits)])
-
-    return run
-
-
-def _totals(counted: pa.Table) -> dict[int, np.ndarray]:
-    """By order, the corpus counts of the distinct n-grams of a chunk, in order of their hashes."""
-    rows: dict[int, list[tuple[int, bytes]]] = {}
-    for o, b, c in zip(counted.column("ord").to_pylist(), counted.column("bucket").to_pylist(), counted.column("counts").to_pylist(), strict=True):
-        rows.setdefault(o, []).append((b, c))
-    return {o: np.concatenate([_unpack(c) for _, c in sorted(x)]) for o, x in rows.items()}
-
-
-def _placed(words: np.ndarray, counts: np.ndarray, n: int, totals: dict[int, np.ndarray], below: np.ndarray | None, least: int) -> np.ndarray:
-    """The corpus count of the n-gram that ends at each word, 0 where there is none in the tables."""
-    h, last = _candidates(words, counts, n, below, least)
-    keys, at = np.unique(h, return_inverse=True)
-    found = totals.get(n, np.zeros(0, np.uint64))
-    if len(found) != len(keys):
-        raise RuntimeError("the documents of a chunk changed between counting and scoring")
-    out = np.zeros(len(words))
-    out[last] = found[at]
-    return out
-
-
-def _candidates(words: np.ndarray, counts: np.ndarray, n: int, below: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that may be frequent enough: all if ``least`` is 1, else from three words on those whose first
-    and last n - 1 words are, as no n-gram is more frequent than its parts. ``below`` has their counts."""
-    h, last = _grams(words, counts, n)
-    if n > 2 and least > 1:
-        some = (below[last] >= least) & (below[last - 1] >= least)
-        h, last = h[some], last[some]
-    return h, last
-
-
-def _explode_next(bits: int, n: int, least: int):
-    """n-grams of a chunk, n > 2, that can be frequent enough by the counts of n - 1 words."""
-
-    def run(t: pa.Table, counted: pa.Table) -> pa.Table:
-        words, counts = _chunk(t)
-        totals, below = _totals(counted), None
-        for k in range(2, n):
-            below = _placed(words, counts, k, totals, below, least)
-        return _rows(_by_bucket(t.column("chunk")[0].as_py(), n, _candidates(words, counts, n, below, least)[0], bits) if t.num_rows else [])
+        chunk, rows = t.column("chunk")[0].as_py(), []
+        _, words, counts = _chunk(t)
+        for n in range(1, order + 1):
+            keys, f = np.unique(_grams(words, counts, n, width)[0], return_counts=True)
+            if not len(keys):
+                continue
+            bucket = keys >> np.uint64(width - bits)
+            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for a, b in zip(heads, [*heads[1:], len(keys)], strict=True):
+                base = bucket[a] << np.uint64(width - bits)
+                rows.append((chunk, n, int(bucket[a]), _pack(np.diff(keys[a:b], prepend=base)), _pack(f[a:b])))
+        return pa.Table.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], _SCHEMA)
 
     return run
 
@@ -146,57 +144,76 @@ def _count(t: pa.Table) -> pa.Table:
     """The count table of one bucket, joined back to the chunks whose n-grams it counts."""
     parts = [(np.cumsum(_unpack(k), dtype=np.uint64), _unpack(c)) for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True)]
     _, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    total = np.zeros(int(at.max()) + 1, np.uint64)
-    np.add.at(total, at, np.concatenate([c for _, c in parts]))
+    total = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.uint64)
     ends = np.cumsum([len(k) for k, _ in parts])
     counts = [_pack(total[at[e - len(k) : e]]) for (k, _), e in zip(parts, ends, strict=True)]
     return pa.table({"chunk": t.column("chunk"), "ord": t.column("ord"), "bucket": t.column("bucket"), "keys": pa.array([b""] * len(counts), pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
-def _score(order: int, backoff: float, least: int, total: int, kind: pa.DataType):
+def _score(order: int, backoff: float, width: int):
+    """(id, n_words, n_last, log_score) of the documents of a chunk, without the -ln N of the ``n_last``
+    words that are scored by their own count."""
+
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
-        words, n = _chunk(docs)
-        totals, f = _totals(counted), []
-        for o in range(1, order + 1):
-            f.append(_placed(words, n, o, totals, f[-1] if f else None, least))
-        log = np.zeros(len(words))
-        open_ = np.ones(len(words), bool)
-        for o in range(order, 1, -1):
-            hit = open_ & (f[o - 1] >= least)
-            at = np.flatnonzero(hit)
-            log[at] += np.log(f[o - 1][at] / f[o - 2][at - 1])
+        ids, words, n = _chunk(docs)
+        rows: dict[int, list[tuple[int, bytes]]] = {}
+        for o, b, c in zip(counted.column("ord").to_pylist(), counted.column("bucket").to_pylist(), counted.column("counts").to_pylist(), strict=True):
+            rows.setdefault(o, []).append((b, c))
+        log, open_, above = np.zeros(len(words)), np.ones(len(words), bool), None
+        # from the longest n-grams down: f(u v w) of one order is divided by f(u v) of the next
+        for o in range(order, 0, -1):
+            h, last = _grams(words, n, o, width)
+            keys, at = np.unique(h, return_inverse=True)
+            found = np.concatenate([np.zeros(0, np.uint64), *(_unpack(c) for _, c in sorted(rows.get(o, ())))])
+            if len(found) != len(keys):
+                raise RuntimeError("the documents of a chunk changed between counting and scoring")
+            f = np.zeros(len(words))
+            f[last] = found[at]
+            if above is not None:
+                log[above] -= np.log(f[above - 1])
+            hit = open_ & (f > 0)
+            above = np.flatnonzero(hit)
+            log[above] += np.log(f[above])
             open_ &= ~hit
-            log[open_] += math.log(backoff)
-        log[open_] += np.log(f[0][open_] / max(total, 1))
-        ends = np.cumsum(n)
-        score = np.array([log[e - k : e].sum() for e, k in zip(ends, n, strict=True)])
-        return pa.table({"id": docs.column("id").cast(kind), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(score, pa.float64())})
+            if o > 1:
+                log[open_] += math.log(backoff)
+        last = np.zeros(len(words), np.int64)
+        last[above if above is not None else []] = 1
+        ends = np.concatenate([[0], np.cumsum(n)])
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
+        score = np.array([log[a:b].sum() for a, b in zip(ends, ends[1:], strict=False)])
+        id_ = pa.chunked_array(ids, type=docs_type(docs)) if ids else pa.chunked_array([], type=docs_type(docs))
+        return pa.table({"id": id_, "n_words": pa.array(n, pa.int64()), "n_last": pa.array(sums(last), pa.int64()), "log_score": pa.array(score, pa.float64())})
+
+    def docs_type(t: pa.Table) -> pa.DataType:
+        return next(_documents(t)).schema.field("id").type
 
     return run
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, n_words, log_score) of every row of ``docs``, under the counts of all of them.
 
     log_score is the sum of ln S over the words; shorter histories at the head of a document use the
     orders they have, with the backoff factor for each that is missing. A null, empty or wordless text
-    has 0 words and a score of 0; null ids are kept; repeated rows are counted and scored each; other
-    columns are not looked at; an empty table gives an empty one. A chunk holds whole documents, so
-    one very long text makes one large chunk. ``least`` must be 1 or more."""
+    has 0 words and a score of 0; ids may be of any type, null or repeated; repeated rows are counted and
+    scored each; other columns are not looked at; an empty table gives an empty one. A chunk holds whole
+    documents, so one very long text, or one that very many rows repeat with the same id, makes one
+    large chunk. Runs when called; the scores are read from a written table."""
     own = pick(docs, id=id, text=text)
-    kind = own.schema["id"].dataType
-    words = F.regexp_count(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
-    size, total = own.agg(F.sum(F.octet_length("text")), F.sum(words)).first()
-    chunks = max(1, math.ceil((size or 0) / chunk_bytes))
-    bits = max(0, math.ceil(math.log2(chunks)))
-    kept = own.withColumn("chunk", F.pmod(F.xxhash64("text", "id"), F.lit(chunks)).cast("int"))
-    counted = kept.groupBy("chunk").applyInArrow(_explode(bits, _first(order, least)), _OUT).groupBy("ord", "bucket").applyInArrow(_count, _OUT)
-    for n in range(_first(order, least) + 1, order + 1):
-        more = kept.groupBy("chunk").cogroup(counted.filter("ord > 1").groupBy("chunk")).applyInArrow(_explode_next(bits, n, least), _OUT)
-        counted = counted.unionByName(more.groupBy("ord", "bucket").applyInArrow(_count, _OUT))
-    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    scored = kept.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(order, backoff, least, total or 0, arrow), f"id {kind.simpleString()}, n_words bigint, log_score double")
-    return scored.withColumnRenamed("id", id)
+    kind, scratch = own.schema["id"].dataType.simpleString(), Scratch(docs.sparkSession, "backoff")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, math.ceil(size / chunk_bytes))
+    bits = math.ceil(math.log2(chunks))
+    # a word has at least one byte and a sign behind it
+    width = min(64, SPARE + max(1, math.ceil(math.log2(order * max(size, 2) / 2))))
+    kept = own.withColumn("chunk", F.pmod(F.xxhash64("text", "id"), F.lit(chunks)).cast("int")).mapInArrow(_pack_texts, _TEXTS)
+    counted = kept.groupBy("chunk").applyInArrow(_explode(bits, order, width), _OUT).groupBy("ord", "bucket").applyInArrow(_count, _OUT)
+    scored = kept.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(order, backoff, width), f"id {kind}, n_words bigint, n_last bigint, log_score double")
+    scored = scratch.write(scored, "scores")
+    total = scored.agg(F.sum("n_words").alias("total"))
+    rest = F.when(F.col("n_last") > 0, F.col("n_last") * F.ln("total")).otherwise(0.0)
+    return scored.crossJoin(F.broadcast(total)).select(F.col("id").alias(id), "n_words", (F.col("log_score") - rest).alias("log_score"))
 
 
 def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +227,8 @@ SQL = f"""
     p as (select k, i, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a
         from (select k, w, unnest(range(1, len(w) + 1)) as i from w)),
     f1 as (select c as x, count(*) as f from p group by all),
-    f2 as (select b as x, c as y, count(*) as f from p where b is not null group by all having count(*) >= 2),
-    f3 as (select a as x, b as y, c as z, count(*) as f from p where a is not null group by all having count(*) >= 2),
+    f2 as (select b as x, c as y, count(*) as f from p where b is not null group by all),
+    f3 as (select a as x, b as y, c as z, count(*) as f from p where a is not null group by all),
     s as (select p.k, case
             when t.f is not null then ln(t.f / h.f)
             when u.f is not null then ln({BACKOFF}) + ln(u.f / v.f)
