@@ -1,13 +1,18 @@
-"""A byte-pair tokenizer as a deterministic automaton.
-
-States stand for the byte strings read so far, one arc per (state, byte). The merges are compiled into
-it by gadgets, in their order of rank: at rank r the gadget of a merge (u, v) -> w looks at every state
-whose incoming arc is labelled v and leaves a state whose own incoming arc is at that moment labelled
-u; it replaces the arc by one labelled w from two arcs back. Each state keeps the history of its
-incoming arc, (rank, label, source), as that is what the gadgets of the states behind it consult, so
-states can be added at any time, in any order of strings, with the same outcome as compiling them all
-at once. When all merges are done the one incoming arc of a state is the last token of the tokens of
-its string and leads back to the state of the rest.
+"""A byte-pair tokenizer as a deterministic automaton, compiled once from the merges.
+
+The automaton reads tokens: its states are the tokens last read (and the start), an arc a token that may
+come next. It starts with the bytes, all of which may follow each other, and takes in the merges one by
+one, by rank. The gadget of a merge (u, v) -> w at rank r closes the arc v behind u from r on and opens
+arcs w wherever u could be read and v behind it; where another gadget closed v behind u before, w can
+never come up and gets no arcs. Closed arcs aren't listed, of which there would be a billion, but kept in
+factors: for each token the labels that the right and the left end of its string bear while the merges
+are gone through, and from which rank to which. Two tokens have an arc unless a merge joins a label at the
+right end of one to a label at the left end of the other while both last. So the size of the tables is that
+of the vocabulary, whatever is read; they are made on the driver and sent to workers, who only look up.
+
+A string is read by dynamic programming: for each of its prefixes one token alone ends it that has an arc
+from the token before. That gives the token count at every prefix, and the way back the tokens. Strings
+are cut beforehand at places that no token of the vocabulary spans, where no merge can reach across.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ import numpy as np
 from tessera.llm.chunks import gather, hash_spans, mix, runs
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Strings of more bytes don't enter the shared table; they are read by the same gadgets one by one.
-SHARED_BYTES = 64
-#: States of the shared table at which a worker starts a new one.
-MOST_STATES = 1_500_000
-_INF = np.int32(2**31 - 1)
+#: Rank of what never ends.
+_END = np.int32(2**31 - 1)
+#: Slots of the table of arcs looked up before; it is overwritten, not grown.
+_ARCS = 1 << 17
+#: Strings still open after so many bytes are read one by one once they are fewer than _FEW.
+_DEEP, _FEW = 64, 12
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,180 +53,260 @@ def load_merges(path: str = DEFAULT_VOCABULARY) -> dict:
     return {"u": u, "v": v, "w": w, "bytes": np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32), "tokens": tokens}
 
 
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table, at most a quarter full."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    slots, held = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    at, todo = (mix(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64), np.arange(len(keys))
+    while len(todo):
+        free = slots[at] == -1
+        slots[at[free]] = keys[todo[free]]
+        won = slots[at] == keys[todo]
+        held[at[won]] = values[todo[won]]
+        todo, at = todo[~won], (at[~won] + 1) & (size - 1)
+    return slots, held
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The values of the keys, -1 where there are none."""
+    slots, held = table
+    mask = len(slots) - 1
+    at = (mix(keys.astype(np.uint64)) & np.uint64(mask)).astype(np.int64)
+    found = slots[at]
+    out = np.where(found == keys, held[at], np.int32(-1))
+    todo = np.flatnonzero((found != keys) & (found != -1))
+    at = at[todo]
+    while len(todo):
+        at = (at + 1) & mask
+        found = slots[at]
+        hit = found == keys[todo]
+        out[todo[hit]] = held[at[hit]]
+        on = ~hit & (found != -1)
+        todo, at = todo[on], at[on]
+    return out
+
+
+def _joined(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], ranks: dict[tuple[int, int], int], below: int) -> bool:
+    """Whether a merge of a rank under ``below`` joins the right end of a token to the left end of the next.
+    Ends are (label, from rank, to rank). Of merges of one rank the leftmost goes first, so a label is
+    gone at the rank that ends it inside the left token, but still there at that inside the right one."""
+    for x, since, until in left:
+        for y, since2, until2 in right:
+            r = ranks.get((x, y))
+            if r is not None and r < below and since < r < until and since2 < r <= until2:
+                return True
+    return False
+
+
+def compiled(merges: dict) -> dict:
+    """The tables of the automaton, by the gadgets of all merges in their order."""
+    u, v, w, tokens = merges["u"].tolist(), merges["v"].tolist(), merges["w"].tolist(), merges["tokens"]
+    size = len(tokens)
+    ranks: dict[tuple[int, int], int] = {}
+    for r, pair in enumerate(zip(u, v, strict=True)):
+        ranks.setdefault(pair, r)
+    right: dict[int, list[tuple[int, int, int]]] = {int(b): [(int(b), -1, int(_END))] for b in merges["bytes"]}
+    left = dict(right)
+    for r, (a, b, c) in enumerate(zip(u, v, w, strict=True)):
+        if a not in right or b not in right or c in right or ranks[a, b] != r:
+            continue  # a part that never comes up, or a token made before
+        if r <= max(right[a][-1][1], left[b][-1][1]):
+            raise ValueError("a merge comes before one that makes its parts")
+        if _joined(right[a], left[b], ranks, r):
+            continue
+        right[c] = [*right[b][:-1], (b, right[b][-1][1], r), (c, r, int(_END))]
+        left[c] = [*left[a][:-1], (a, left[a][-1][1], r), (c, r, int(_END))]
+
+    def ends(chains: dict) -> dict:
+        flat = [x for t in range(size) for x in chains.get(t, ())]
+        label, since, until = (np.array(c, np.int32) for c in zip(*flat, strict=True))
+        return {"at": np.cumsum([0, *(len(chains.get(t, ())) for t in range(size))]), "label": label, "since": since, "until": until}
+
+    # the tokens from their last byte back, as a tree: what ends at a place is met on one way
+    node_of: dict[int, int] = {}
+    ending = [-1]
+    for t in right:
+        node = 0
+        for byte in reversed(tokens[t]):
+            key = node * 256 + byte
+            if key not in node_of:
+                node_of[key] = len(ending)
+                ending.append(-1)
+            node = node_of[key]
+        ending[node] = t
+    keys = np.array(list(node_of), np.int64)
+    first = np.zeros(256, np.int32)
+    for k, n in node_of.items():
+        if k < 256:
+            first[k] = n
+    pairs = np.array([a * size + b for a, b in ranks], np.int64)
+    return {"size": size, "tokens": tokens, "right": ends(right), "left": ends(left), "ranks": _table(pairs, np.array(list(ranks.values()), np.int32)), "tree": _table(keys, np.array(list(node_of.values()), np.int32)), "first": first, "ending": np.array(ending, np.int32)}
+
+
 class Automaton:
-    """The automaton of a vocabulary. State 0 is the empty string."""
-
-    def __init__(self, merges: dict):
-        self.bytes, size = merges["bytes"], len(merges["tokens"])
-        key = merges["u"].astype(np.int64) * size + merges["v"]
-        order = np.argsort(key)
-        self.size, self.keys = size, key[order]
-        self.ranks, self.made = order.astype(np.int32), merges["w"][order]
-        self.lengths = np.array([len(t) for t in merges["tokens"]], np.int64)
+    """The compiled tables, for looking up. Nothing in it grows with what is read."""
+
+    def __init__(self, tables: dict):
+        self.size, self.right, self.left, self.ranks, self.tree = tables["size"], tables["right"], tables["left"], tables["ranks"], tables["tree"]
+        self.first, self.ending = tables["first"], tables["ending"]
+        self.lengths = np.array([len(t) for t in tables["tokens"]], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(merges["tokens"]), np.uint8)
-        self._pairs: dict[int, tuple[int, int]] | None = None
-        self.reset()
-
-    def reset(self) -> None:
-        self.n = 1
-        self.count, self.steps = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
-        self.rank, self.label, self.back = (np.full((1024, 4), x, np.int32) for x in (_INF, 0, 0))
-        self.slots = np.full(1 << 16, -1, np.int64)
-        self.next = np.zeros(1 << 16, np.int32)
-
-    # -- the arcs by bytes: an open hash table of state * 256 + byte
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The states behind the keys, -1 where there are none."""
-        out = np.full(len(keys), -1, np.int32)
-        at, todo, mask = self._slot(keys), np.arange(len(keys)), len(self.slots) - 1
-        while len(todo):
-            held = self.slots[at]
-            hit = held == keys[todo]
-            out[todo[hit]] = self.next[at[hit]]
-            on = ~hit & (held != -1)
-            todo, at = todo[on], (at[on] + 1) & mask
+        self.flat = np.frombuffer(b"".join(tables["tokens"]), np.uint8)
+        self.known, self.open = np.full(_ARCS, -1, np.int64), np.zeros(_ARCS, bool)
+
+    def _arc(self, key: np.ndarray) -> np.ndarray:
+        """Whether there is an arc for each (token, next token), by their labels and merges."""
+        r, l = self.right, self.left  # noqa: E741
+        a, b = key // self.size, key % self.size
+        out = np.ones(len(key), bool)
+        ra, na, lb, nb = r["at"][a], np.diff(r["at"])[a], l["at"][b], np.diff(l["at"])[b]
+        for i in range(int(na.max(initial=0))):
+            outer = np.flatnonzero(out & (na > i))
+            for j in range(int(nb[outer].max(initial=0))):
+                some = outer[out[outer] & (nb[outer] > j)]
+                x, y = ra[some] + i, lb[some] + j
+                rank = _find(self.ranks, r["label"][x].astype(np.int64) * self.size + l["label"][y])
+                out[some] = ~((rank >= 0) & (r["since"][x] < rank) & (rank < r["until"][x]) & (l["since"][y] < rank) & (rank <= l["until"][y]))
+        return out
+
+    def arc(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether token b may be read behind token a; arcs met before are looked up in one step."""
+        key = a.astype(np.int64) * self.size + b
+        at = (mix(key.astype(np.uint64)) & np.uint64(_ARCS - 1)).astype(np.int64)
+        lost = np.flatnonzero(self.known[at] != key)
+        out = self.open[at]
+        if len(lost):
+            new, back = np.unique(key[lost], return_inverse=True)
+            found = self._arc(new)
+            out[lost] = found[back]
+            slot = (mix(new.astype(np.uint64)) & np.uint64(_ARCS - 1)).astype(np.int64)
+            self.known[slot], self.open[slot] = new, found
+            clash = self.known[slot] != new  # of two arcs in one slot the last written stays
+            self.open[slot[~clash]] = found[~clash]
         return out
 
-    def _insert(self, keys: np.ndarray, states: np.ndarray) -> None:
-        if (self.n + len(keys)) * 2 > len(self.slots):
-            old, own = self.slots[self.slots != -1], self.next[self.slots != -1]
-            more = len(self.slots)
-            while (self.n + len(keys)) * 2 > more:
-                more *= 2
-            self.slots, self.next = np.full(more * 2, -1, np.int64), np.zeros(more * 2, np.int32)
-            self._insert(old, own)
-        at, todo, mask = self._slot(keys), np.arange(len(keys)), len(self.slots) - 1
-        while len(todo):
-            free = self.slots[at] == -1
-            self.slots[at[free]] = keys[todo[free]]
-            won = self.slots[at] == keys[todo]
-            self.next[at[won]] = states[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & mask
-
-    # -- the merge gadgets
-
-    def _merge(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, label) of the merges of u and v, rank _INF where there are none."""
-        key = u.astype(np.int64) * self.size + v
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.ranks[at], _INF), self.made[at]
-
-    def _room(self, states: int, steps: int) -> None:
-        if states > len(self.count):
-            more = max(states, 2 * len(self.count)) - len(self.count)
-            self.count, self.steps = (np.concatenate([x, np.zeros(more, np.int32)]) for x in (self.count, self.steps))
-            self.rank = np.concatenate([self.rank, np.full((more, self.rank.shape[1]), _INF, np.int32)])
-            self.label, self.back = (np.concatenate([x, np.zeros((more, x.shape[1]), np.int32)]) for x in (self.label, self.back))
-        if steps > self.rank.shape[1]:
-            wide = (len(self.count), 4)
-            self.rank = np.concatenate([self.rank, np.full(wide, _INF, np.int32)], axis=1)
-            self.label, self.back = (np.concatenate([x, np.zeros(wide, np.int32)], axis=1) for x in (self.label, self.back))
-
-    def _add(self, source: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """New states behind ``source`` by ``byte``, with the gadgets of all merges applied."""
-        new = np.arange(self.n, self.n + len(source), dtype=np.int32)
-        self._room(self.n + len(source), 1)
-        self.n += len(source)
-        label, back, own, since, step = self.bytes[byte], source.astype(np.int32), new, np.full(len(new), -1, np.int32), 0
-        while True:
-            self._room(0, step + 2)
-            self.rank[own, step], self.label[own, step], self.back[own, step] = since, label, back
-            self.steps[own] = step + 1
-            best, to, made = np.full(len(own), _INF, np.int32), np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
-            some = np.flatnonzero(back > 0)
-            for k in range(int(self.steps[back[some]].max(initial=0))):
-                some = some[self.steps[back[some]] > k]
-                q = back[some]
-                r, w = self._merge(self.label[q, k], label[some])
-                ok = (r > since[some]) & (r < self.rank[q, k + 1]) & (r < best[some])
-                hit = some[ok]
-                best[hit], made[hit], to[hit] = r[ok], w[ok], self.back[q[ok], k]
-            on = best < _INF
-            self.count[own[~on]] = self.count[back[~on]] + 1
-            if not on.any():
-                return new
-            own, label, back, since, step = own[on], made[on], to[on], best[on], step + 1
-
-    # -- reading strings
-
-    def read(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, every: bool = False) -> np.ndarray:
-        """The state at the end of each byte span of ``data``; with ``every`` the states after each of
-        their bytes, joined. Spans have at most SHARED_BYTES bytes."""
-        if self.n > MOST_STATES:
-            self.reset()
-        order = np.argsort(-length, kind="stable")
-        start, sorted_length = start[order], length[order]
-        state = np.zeros(len(order), np.int32)
-        first = np.cumsum(length) - length
-        out = np.zeros(int(length.sum()), np.int32) if every else None
-        for d in range(int(length.max(initial=0))):
-            k = int(np.searchsorted(-sorted_length, -d, side="left"))
-            byte = data[start[:k] + d]
-            key = state[:k].astype(np.int64) * 256 + byte
-            found = self._find(key)
-            lost = np.flatnonzero(found < 0)
-            if len(lost):
-                fresh, at = np.unique(key[lost], return_inverse=True)
-                states = self._add(fresh >> 8, fresh & 255)
-                self._insert(fresh, states)
-                found[lost] = states[at]
-            state[:k] = found
-            if every:
-                out[first[order[:k]] + d] = found
+    def _endings(self, data: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens that end at each byte, longest first, joined; where those of each byte begin; length of
+        the longest). ``depth`` is the number of bytes of the string up to each byte."""
+        at, node, found, n = np.arange(len(data), dtype=np.int32), self.first[data], [], 1
+        count, longest = np.zeros(len(data) + 1, np.int64), np.ones(len(data), np.int32)
+        while len(at):
+            token = self.ending[node]
+            some = token >= 0
+            own = at[some]
+            found.append((own, token[some]))
+            count[own + 1] += 1
+            longest[own] = n
+            more = depth[at] > n
+            at, node = at[more], node[more]
+            node = _find(self.tree, node.astype(np.int64) * 256 + data[at - n])
+            at, node, n = at[node >= 0], node[node >= 0], n + 1
+        begin = np.cumsum(count)
+        out, fill = np.zeros(int(begin[-1]), np.int32), begin[:-1].copy()
+        for own, token in reversed(found):
+            out[fill[own]] = token
+            fill[own] += 1
+        return out, begin, longest
+
+    def read(self, data: np.ndarray, length: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last token at each byte, token count at each byte, where pieces that no token reaches out of
+        begin) of strings joined in ``data``, of ``length`` bytes each. Without ``every`` only bytes on the
+        way back from the ends of the pieces have tokens, and counts start anew with each."""
+        n = len(data)
+        token, count = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        if not n:
+            return token, count, np.zeros(0, np.int64)
+        tokens, begin, longest = self._endings(data, runs(length) + 1)
+        head = np.arange(n) - longest + 1
+        cut = np.minimum.accumulate(head[::-1])[::-1] >= np.arange(n)
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, n))
+        last = start + size - 1
+        if not every:
+            one = longest[last] == size
+            token[last[one]], count[last[one]] = tokens[begin[last[one]]], 1
+            start, size = start[~one], size[~one]
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        for d in range(int(size[0]) if len(size) else 0):
+            k = int(np.searchsorted(-size, -d, side="left"))
+            if d >= _DEEP and k < _FEW:
+                for a, m in zip(start[:k].tolist(), size[:k].tolist(), strict=True):
+                    self._read_on(tokens, begin, token, count, a, d, m)
+                break
+            at = start[:k] + d
+            pick, todo = begin[at], np.arange(k)
+            while len(todo):
+                t = tokens[pick]
+                m = self.lengths[t]
+                back = at[todo] - m
+                whole = m == d + 1
+                ok = whole.copy()
+                rest = np.flatnonzero(~whole)
+                ok[rest] = self.arc(token[back[rest]], t[rest])
+                own = at[todo[ok]]
+                token[own] = t[ok]
+                count[own] = np.where(whole[ok], 0, count[back[ok]]) + 1
+                todo, pick = todo[~ok], pick[~ok] + 1
         if every:
-            return out
-        end = np.zeros(len(order), np.int32)
-        end[order] = state
-        return end
-
-    def emit(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the labels on the way from state 0 to each state, joined; how many each has)."""
-        count = self.count[states].astype(np.int64)
-        out = np.zeros(int(count.sum()), np.int32)
-        at, own = np.cumsum(count) - 1, states
-        while True:
-            on = own > 0
-            if not on.all():
-                at, own = at[on], own[on]
-            if not len(own):
-                return out, count
-            last = self.steps[own] - 1
-            out[at] = self.label[own, last]
-            own, at = self.back[own, last], at - 1
-
-    def read_long(self, data: bytes) -> tuple[list[int], list[int]]:
-        """(tokens, token count after each byte) of one string of any length, by the same gadgets."""
-        if self._pairs is None:
-            self._pairs = {int(k): (int(r), int(w)) for k, r, w in zip(self.keys, self.ranks, self.made, strict=True)}
-        pairs, size = self._pairs, self.size
-        history: list[list[tuple[int, int, int]]] = [[]]
-        counts = [0]
-        for i, b in enumerate(data):
-            label, back, since = int(self.bytes[b]), i, -1
-            own = [(since, label, back)]
-            while back:
-                best, behind = None, history[back]
-                for k, (_, x, to) in enumerate(behind):
-                    m = pairs.get(x * size + label)
-                    if m and m[0] > since and (k + 1 == len(behind) or m[0] < behind[k + 1][0]) and (best is None or m[0] < best[0]):
-                        best = (*m, to)
-                if best is None:
+            # counts go on where strings were cut
+            sums = np.cumsum(np.where(np.append(cut[1:], True), count, 0))
+            before = np.concatenate([[0], sums])[np.flatnonzero(cut)]
+            ends = np.cumsum(length)
+            base = np.concatenate([[0], sums])[(ends - length)[length > 0]]
+            total = np.repeat(before, np.diff(np.append(np.flatnonzero(cut), n))) - np.repeat(base, length[length > 0])
+            count = count + total.astype(np.int32)
+        return token, count, np.flatnonzero(cut)
+
+    def _read_on(self, tokens: np.ndarray, begin: np.ndarray, token: np.ndarray, count: np.ndarray, a: int, d: int, m: int) -> None:
+        """The same, one byte after the other, for the bytes d .. m - 1 of one string that begins at a."""
+        own, counts, seen = token[a : a + d].tolist(), count[a : a + d].tolist(), {}
+        lo, size, lengths = begin[a + d : a + m + 1].tolist(), self.size, self.lengths
+        some = tokens[lo[0] : lo[-1]]
+        all_, spans = some.tolist(), lengths[some].tolist()
+        for i in range(d, m):
+            for k in range(lo[i - d] - lo[0], lo[i - d + 1] - lo[0]):
+                t, back = all_[k], i - spans[k]
+                if back < 0:
                     break
-                since, label, back = best
-                own.append((since, label, back))
-            history.append(own)
-            counts.append(counts[back] + 1)
-        tokens, at = [], len(data)
-        while at:
-            _, label, at = history[at][-1]
-            tokens.append(label)
-        return tokens[::-1], counts[1:]
+                key = own[back] * size + t
+                ok = seen.get(key)
+                if ok is None:
+                    ok = seen[key] = bool(self.arc(np.array([own[back]]), np.array([t]))[0])
+                if ok:
+                    break
+            own.append(t)
+            counts.append(counts[back] + 1 if back >= 0 else 1)
+        token[a : a + m], count[a : a + m] = own, counts
+
+    def tokens_of(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of the strings joined in ``data``; how many each has), by going back over their pieces."""
+        token, count, first = self.read(data, length, every=False)
+        start = first
+        at = np.append(start[1:], len(data))[: len(start)] - 1
+        own = count[at].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(own)])
+        out, spot = np.zeros(int(upto[-1]), np.int32), upto[1:] - 1
+        while len(at) >= _FEW:
+            t = token[at]
+            out[spot] = t
+            at = at - self.lengths[t]
+            more = at >= start
+            at, spot, start = at[more], spot[more] - 1, start[more]
+        for a, k, head in zip(at.tolist(), spot.tolist(), start.tolist(), strict=True):
+            held = token[head : a + 1].tolist()
+            i = a - head
+            while i >= 0:
+                out[k] = held[i]
+                i, k = i - int(self.lengths[held[i]]), k - 1
+        # a string begins where one of its pieces does
+        return out, np.diff(upto[np.searchsorted(first, np.concatenate([[0], np.cumsum(length)]))])
+
+    def counts_of(self, strings: list[bytes]) -> np.ndarray:
+        """Token counts of whole strings, each of at least one byte."""
+        length = np.fromiter(map(len, strings), np.int64, len(strings))
+        count = self.read(np.frombuffer(b"".join(strings), np.uint8), length, every=True)[1]
+        return count[np.cumsum(length) - 1].astype(np.int64)
 
     def spell(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the bytes of the labels, joined; how many each has)."""
@@ -303,19 +389,9 @@ def encode(automaton: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     """(tokens of all texts, joined; how many each text has)."""
     parts = split(texts)
     one, at = distinct(parts)
-    start, length = parts["start"][one], parts["length"][one]
-    short = length <= SHARED_BYTES
-    got, n = automaton.emit(automaton.read(parts["data"], start[short], length[short]))
-    count = np.zeros(len(one), np.int64)
-    count[short] = n
-    long = {int(i): automaton.read_long(parts["data"][start[i] : start[i] + length[i]].tobytes())[0] for i in np.flatnonzero(~short)}
-    for i, x in long.items():
-        count[i] = len(x)
+    length = parts["length"][one]
+    flat, count = automaton.tokens_of(gather(parts["data"], parts["start"][one], length), length)
     offset = np.cumsum(count) - count
-    flat = np.zeros(int(count.sum()), np.int32)
-    flat[np.repeat(offset[short], n) + runs(n)] = got
-    for i, x in long.items():
-        flat[offset[i] : offset[i] + len(x)] = x
     tokens = gather(flat, offset[at], count[at])
     upto = np.concatenate([[0], np.cumsum(count[at])])
     return tokens, np.diff(upto[np.concatenate([[0], np.cumsum(parts["words"])])])
@@ -332,14 +408,9 @@ def prefix_counts(automaton: Automaton, texts: list[str]) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     one, at = distinct(parts)
-    start, length = parts["start"][one], parts["length"][one]
-    short = length <= SHARED_BYTES
+    length = parts["length"][one]
     offset = np.cumsum(length) - length
-    flat = np.zeros(int(length.sum()), np.int64)
-    states = automaton.read(parts["data"], start[short], length[short], every=True)
-    flat[np.repeat(offset[short], length[short]) + runs(length[short])] = automaton.count[states]
-    for i in np.flatnonzero(~short):
-        flat[offset[i] : offset[i] + length[i]] = automaton.read_long(parts["data"][start[i] : start[i] + length[i]].tobytes())[1]
+    flat = automaton.read(gather(parts["data"], parts["start"][one], length), length, every=True)[1].astype(np.int64)
     by_byte = gather(flat, offset[at], length[at])
     upto = np.cumsum(parts["width"])
     inner = by_byte[upto - 1]
@@ -357,14 +428,6 @@ def prefix_counts(automaton: Automaton, texts: list[str]) -> np.ndarray:
     return out
 
 
-def _own_counts(automaton: Automaton, texts: list[bytes]) -> list[list[int]]:
-    seen: dict[bytes, list[int]] = {}
-    for x in texts:
-        if x not in seen:
-            seen[x] = automaton.read_long(x)[1]
-    return [seen[x] for x in texts]
-
-
 def _white_prefixes(automaton: Automaton, parts: dict, out: np.ndarray, before: np.ndarray) -> None:
     """A prefix that ends with white space has all of that run as one word. The run of two or more
     is split before its last character when other signs follow; that prefix alone changes."""
@@ -379,8 +442,9 @@ def _white_prefixes(automaton: Automaton, parts: dict, out: np.ndarray, before:
     head = word - 1  # the run without its last character is the word before
     upto = np.concatenate([[0], np.cumsum(parts["width"])])
     lo, hi = upto[parts["chars"][head]], upto[i + 1]
-    whole = _own_counts(automaton, [parts["data"][a:b].tobytes() for a, b in zip(lo, hi, strict=True)])
-    out[i] = before[head] + np.array([x[-1] for x in whole])
+    seen = {x: k for k, x in enumerate(dict.fromkeys(parts["data"][a:b].tobytes() for a, b in zip(lo, hi, strict=True)))}
+    whole = automaton.counts_of(list(seen))
+    out[i] = before[head] + whole[[seen[parts["data"][a:b].tobytes()] for a, b in zip(lo, hi, strict=True)]]
 
 
 def _quote_prefixes(automaton: Automaton, parts: dict, out: np.ndarray, before: np.ndarray, chars: np.ndarray) -> None:
@@ -392,16 +456,4 @@ def _quote_prefixes(automaton: Automaton, parts: dict, out: np.ndarray, before:
     w = w[parts["cls"][at[w] + 1] == _LETTER]
     for i in w:
         text = "".join(map(chr, cp[at[i] : at[i] + 2])).encode()
-        out[at[i] + 1] = before[i] + sum(c[-1] for c in _own_counts(automaton, [text[:1], text[1:]]))
-
-
-_HELD: dict[int, Automaton] = {}
-
-
-def automaton_of(broadcast) -> Automaton:
-    """This worker's automaton of the broadcast merges; its table of states serves all its tasks."""
-    key = id(broadcast.value)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Automaton(broadcast.value)
-    return _HELD[key]
+        out[at[i] + 1] = before[i] + automaton.counts_of([text[:1], text[1:]]).sum()

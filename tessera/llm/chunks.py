@@ -23,18 +23,20 @@ def pieces(ids: pa.Array, texts: list[str], limit: int = PIECE_CHARS) -> Iterato
         yield ids.slice(start), texts[start:]
 
 
-def over_texts(kernel: Callable[[pa.Array, list[str]], pa.RecordBatch], limit: int = PIECE_CHARS):
+def over_texts(kernel: Callable[..., pa.RecordBatch], limit: int = PIECE_CHARS, setup: Callable[[], object] | None = None):
     """A mapInArrow function: columns (id, text) in, what ``kernel(ids, texts)`` returns out.
-    A null text reaches the kernel as an empty one."""
+    A null text reaches the kernel as an empty one. What ``setup`` makes once a task is handed to the
+    kernel as a third argument and let go with the task, so that idle workers hold no memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (setup(),) if setup else ()
         for b in batches:
             step = 500
             for lo in range(0, b.num_rows, step):
                 part = b.slice(lo, step)
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 for ids, own in pieces(part.column("id"), texts, limit):
-                    yield kernel(ids, own)
+                    yield kernel(ids, own, *held)
 
     return run
 

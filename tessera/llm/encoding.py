@@ -2,7 +2,7 @@
 
 Whole texts are split as the vocabulary's pattern splits them; each distinct word of a batch is read by
 table-driven transitions and its tokens are the arc labels met on the way back. Narrow map stages only:
-no shuffle, and what is broadcast has the size of the vocabulary file.
+no shuffle, and what is broadcast has the size of the vocabulary file, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -29,11 +29,10 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary:
     tokens (round_trip true); null ids are kept, repeated rows stay repeated, other columns are not
     looked at, and an empty table gives an empty one."""
     own = pick(docs, id=id, text=text)
-    shared = own.sparkSession.sparkContext.broadcast(bpe.load_merges(vocabulary))
+    shared = own.sparkSession.sparkContext.broadcast(bpe.compiled(bpe.load_merges(vocabulary)))
     kind = own.schema["id"].dataType.simpleString()
 
-    def kernel(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        automaton = bpe.automaton_of(shared)
+    def kernel(ids: pa.Array, texts: list[str], automaton: bpe.Automaton) -> pa.RecordBatch:
         tokens, counts = bpe.encode(automaton, texts)
         spelled, sizes = automaton.spell(tokens)
         ends = np.cumsum(sizes)
@@ -46,27 +45,26 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary:
             same = [spelled[a:b].tobytes() == x.encode() for x, a, b in zip(texts, at, at[1:], strict=False)]
         return pa.RecordBatch.from_arrays([ids, _lists(tokens, counts), pa.array(counts, pa.int64()), pa.array(same)], names=[id, "token_ids", "n_tokens", "round_trip"])
 
-    return own.mapInArrow(over_texts(kernel), f"`{id}` {kind}, token_ids array<int>, n_tokens bigint, round_trip boolean")
+    return own.mapInArrow(over_texts(kernel, setup=lambda: bpe.Automaton(shared.value)), f"`{id}` {kind}, token_ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decode(tokens: DataFrame, id: str = "doc_id", token_ids: str = "token_ids", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """(id, text) by emitting the arc labels of ``token_ids`` in order.
 
     Null or empty token lists give an empty text; null tokens inside a list are skipped; ids outside
-    the vocabulary raise. Bytes that are no UTF-8 (cut token lists) become U+FFFD."""
+    the vocabulary raise. Bytes that are no UTF-8 (cut token lists) become U+FFFD. Null ids and repeated
+    rows are kept, other columns not looked at, whatever their names, and an empty table gives an empty
+    one."""
     own = pick(tokens, id=id, token_ids=token_ids)
-    shared = own.sparkSession.sparkContext.broadcast(bpe.load_merges(vocabulary))
+    shared = own.sparkSession.sparkContext.broadcast(bpe.load_merges(vocabulary)["tokens"])
     kind = own.schema["id"].dataType.simpleString()
 
     def run(batches):
+        labels = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
-                automaton = bpe.automaton_of(shared)
-                texts = []
-                for x in b.column("token_ids").to_pylist():
-                    spelled, _ = automaton.spell(np.array([t for t in x or [] if t is not None], np.int64))
-                    texts.append(spelled.tobytes().decode("utf-8", "replace"))
+                texts = [b"".join([labels[t] for t in x or [] if t is not None]).decode("utf-8", "replace") for x in b.column("token_ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], names=[id, "text"])
 
     return own.mapInArrow(run, f"`{id}` {kind}, text string")

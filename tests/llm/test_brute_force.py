@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import pickle
+import random
 import re
 from fractions import Fraction
 
@@ -32,7 +35,7 @@ def texts(spark, data):
 
 
 def test_encoding_is_that_of_the_public_library(spark, data, public, texts):
-    auto = bpe.Automaton(bpe.load_merges())
+    auto = bpe.Automaton(bpe.compiled(bpe.load_merges()))
     for t in SAMPLES:
         tokens, counts = bpe.encode(auto, [t])
         assert tokens.tolist() == public.encode(t, add_special_tokens=False).ids
@@ -45,23 +48,73 @@ def test_encoding_is_that_of_the_public_library(spark, data, public, texts):
 @settings(deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'srevl 1\n\té日")), max_size=25))
 def test_prefix_counts_are_those_of_encoding_each_prefix(text):
-    auto = test_prefix_counts_are_those_of_encoding_each_prefix.__dict__.setdefault("auto", bpe.Automaton(bpe.load_merges()))
+    auto = test_prefix_counts_are_those_of_encoding_each_prefix.__dict__.setdefault("auto", bpe.Automaton(bpe.compiled(bpe.load_merges())))
     assert bpe.prefix_counts(auto, [text]).tolist() == [int(bpe.encode(auto, [text[: i + 1]])[1][0]) for i in range(len(text))]
 
 
+def test_automaton_on_long_runs(public):
+    """Runs without blanks: other scripts, one sign, letters, codes; the tables don't grow with them."""
+    rnd = random.Random(7)
+    auto = bpe.Automaton(bpe.compiled(bpe.load_merges()))
+    common = "的一是不了人我在有他这中大来上个国和也子时道说出而要于就下得可你年生"
+    long = ["".join(rnd.choices(x, k=3000)) for x in (common, "ab", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "-=_#")] + ["".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(3000)), "x" * 5000, "-" * 700, base64.b64encode(rnd.randbytes(3000)).decode()]
+    size = len(pickle.dumps(auto))
+    tokens, counts = bpe.encode(auto, long)
+    ends = np.cumsum(counts)
+    for t, n, e in zip(long, counts, ends, strict=True):
+        assert tokens[e - n : e].tolist() == public.encode(t, add_special_tokens=False).ids
+    assert len(pickle.dumps(auto)) == size
+    for t in long:
+        want = [len(public.encode(t[: i + 1], add_special_tokens=False).ids) for i in range(200)]
+        assert bpe.prefix_counts(auto, [t[:200]]).tolist() == want
+
+
+def test_automaton_of_hand_made_merges():
+    """Against merging by rank, over all strings of a small alphabet and random orders of merges."""
+    rnd = random.Random(3)
+    for _ in range(40):
+        vocab, merges = {"a": 0, "b": 1}, []
+        while len(merges) < 9:
+            x, y = rnd.choice(list(vocab)), rnd.choice(list(vocab))
+            if x + y not in vocab and len(x + y) < 9:
+                merges.append((vocab[x], vocab[y], len(vocab)))
+                vocab[x + y] = len(vocab)
+        u, v, w = (np.array(c, np.int32) for c in zip(*merges, strict=True))
+        auto = bpe.Automaton(bpe.compiled({"u": u, "v": v, "w": w, "bytes": np.array([0, 1], np.int32), "tokens": [k.replace("a", "\0").replace("b", "\1").encode() for k in vocab]}))
+        for _ in range(60):
+            data = np.array(rnd.choices((0, 1), k=rnd.randint(1, 40)), np.uint8)
+            own = data.tolist()
+            for x, y, z in merges:
+                i = 0
+                while i + 1 < len(own):
+                    if (own[i], own[i + 1]) == (x, y):
+                        own[i : i + 2] = [z]
+                    i += 1
+            assert auto.tokens_of(data, np.array([len(data)]))[0].tolist() == own
+
+
 def test_prefix_counts_of_documents(spark, data, public, texts):
+    """Every document of the table: all prefixes of the first ones of up to 1,500 characters, of others some of
+    all parts of the text, and the stored answers."""
     from pyspark.sql import functions as F
 
-    rows = prefix.op8_prefix_counts(spark, data)
-    some = sorted(texts, key=lambda k: len(texts[k]))[:40]
-    for r in rows.filter(F.col("doc_id").isin(some)).collect():
-        t = texts[r["doc_id"]]
-        want = [len(public.encode(t[: i + 1], add_special_tokens=False).ids) for i in range(len(t))]
-        assert np.cumsum(np.frombuffer(r["prefix_deltas"], np.int8), dtype=int).tolist() == want
-        assert r["fit_128"] == max([i + 1 for i, c in enumerate(want) if c <= 128], default=0)
-    one = rows.filter("n_chars > 300").select("doc_id", prefix.count_at(F.col("prefix_deltas"), F.lit(300)).alias("c"), prefix.fit(F.col("prefix_deltas"), F.lit(50)).alias("f")).first()
-    assert one["c"] == len(public.encode(texts[one["doc_id"]][:300], add_special_tokens=False).ids)
-    assert len(public.encode(texts[one["doc_id"]][: one["f"]], add_special_tokens=False).ids) <= 50
+    rnd = random.Random(11)
+    rows = prefix.op8_prefix_counts(spark, data).withColumns({f"at_{n}": prefix.count_at(F.col("prefix_deltas"), F.lit(n)) for n in (-3, 0, 77, 10**9)} | {f"in_{n}": prefix.fit(F.col("prefix_deltas"), F.lit(n)) for n in (-1, 50)})
+    count = lambda t: len(public.encode(t, add_special_tokens=False).ids)
+    seen = 0
+    for r in rows.collect():
+        t = texts[r["doc_id"]] or ""
+        got = np.cumsum(np.frombuffer(r["prefix_deltas"], np.int8), dtype=int)
+        assert len(got) == r["n_chars"] == len(t)
+        some = range(len(t)) if len(t) <= 1500 and seen < 12_000 else sorted(rnd.sample(range(len(t)), min(8, len(t))))
+        seen += len(t) if len(some) == len(t) else 0
+        for i in some:
+            assert got[i] == count(t[: i + 1])
+        for b in prefix.BUDGETS:
+            assert r[f"fit_{b}"] == max(np.flatnonzero(got <= b) + 1, default=0)
+        assert (r["at_-3"], r["at_0"], r["at_77"], r["at_1000000000"]) == (0, 0, count(t[:77]), r["n_tokens"])
+        assert (r["in_-1"], r["in_50"]) == (0, max(np.flatnonzero(got <= 50) + 1, default=0))
+    assert len(texts) == rows.count()
 
 
 def test_language_of_held_out_documents(spark, data):

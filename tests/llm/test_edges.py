@@ -89,6 +89,22 @@ def test_decoding_of_odd_lists(spark):
     assert [r["text"] for r in encoding.decode(rows).collect()] == ["", "", ""]
 
 
+def test_decoding_keeps_to_its_columns(spark):
+    rows = spark.createDataFrame([(1, [64, 65], "x", "y"), (None, [66], "x", "y"), (1, [64, 65], "x", "y")], "doc_id bigint, token_ids array<int>, a string, b string").toDF("doc_id", "token_ids", "text", "DOC_ID")
+    back = encoding.decode(rows)
+    assert back.columns == ["doc_id", "text"]
+    assert sorted(map(str, back.collect())) == sorted(["Row(doc_id=1, text='ab')", "Row(doc_id=None, text='c')", "Row(doc_id=1, text='ab')"])
+    assert encoding.decode(rows.limit(0)).collect() == []
+
+
+def test_stored_counts_of_nulls(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(None, 1), (bytearray(b"\x01\x01"), None), (bytearray(b""), 3), (bytearray(b"\x01\x00\xff\x01"), 2)], "d binary, n int")
+    got = rows.select(prefix.count_at(F.col("d"), F.col("n")).alias("c"), prefix.fit(F.col("d"), F.col("n") - 2).alias("f")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (None, None), (0, 0), (1, 3)]
+
+
 def test_quality_drops_what_has_no_words(odd):
     ids = [r[0] for r in quality.keep_good(odd).collect()]
     assert not {3, 4, 5} & set(ids)
