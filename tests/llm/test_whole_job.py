@@ -71,3 +71,40 @@ def test_quality_of_very_long_documents(spark):
         near = 1 - sum(len(set(w[a : a + quality.WINDOW])) for a in range(0, len(w), quality.WINDOW)) / len(w)
         far = [tuple(w[a : a + quality.PASSAGE]) for a in range(len(w) - quality.PASSAGE + 1)]
         assert got[i] == pytest.approx(max(near, 1 - len(set(far)) / len(far)), abs=1e-9)
+
+
+def test_quality_keeps_the_good_and_drops_the_bad(spark):
+    d = "/root/testdata/sf0.1"
+    kept = {r["doc_id"] for r in quality.keep_good(table(spark, d, "documents")).select("doc_id").collect()}
+    rows = duckdb.execute(f"select doc_id, quality, len(string_split(text, ' ')) > 50 from '{d}/labels.parquet' join '{d}/documents.parquet' using (doc_id)").fetchall()
+    share = lambda q, long: sum(i in kept for i, k, n in rows if k == q and n >= long) / sum(k == q and n >= long for _, k, n in rows)
+    assert share(1, True) > 0.999
+    assert share(1, False) > 0.998
+    assert share(0, False) < 0.03
+
+
+def test_quality_fences_of_thinned_sketches_and_their_levels(spark):
+    """Groups of 30,000 rows, whose sketches are thinned: each quartile lies within a rank of 0.5 % of the
+    exact one. A small group takes the fences of its language, a small language those of the corpus."""
+    word = "concat(repeat('x', 2 + cast(pmod(hash(id, k), 17) as int)), repeat('.', cast(pmod(hash(id, k, 1), 3) as int)))"
+    docs = spark.range(60_000).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(1, 12 + cast(id % 31 as int)), k -> {word})) as text", "'en' as lang", "concat('s', id % 2) as source")
+    tiny = spark.range(20).selectExpr("id as doc_id", "'one two three' as text", "if(id < 15, 'en', 'de') as lang", "'tiny' as source")
+    docs = docs.unionByName(tiny)
+    rules = tuple(quality.Rule(r.name, 0.0, 0.0) for r in quality.RULES)  # fences at the quartiles themselves
+    got = {(r["lang"], r["source"]): r for r in quality.fences(docs, rules=rules).collect()}
+    assert {k: r["level"] for k, r in got.items()} == {("en", "s0"): "source", ("en", "s1"): "source", ("en", "tiny"): "language", ("de", "tiny"): "corpus"}
+    from pyspark.sql import functions as F
+
+    values = docs.select("lang", "source", *(c.alias(k) for k, c in quality.measures(F.col("text")).items())).toPandas()
+    for key, level in (("s0", "source"), ("s1", "source"), ("tiny", "language")):
+        own = values[(values["lang"] == "en") & ((values["source"] == key) | (level == "language"))]
+        for r in rules:
+            for name, q in (("min", 0.25), ("max", 0.75)):
+                x = got["en", key][f"{r.name}_{name}"]
+                assert (own[r.name] < x).mean() - 0.005 <= q <= (own[r.name] <= x).mean() + 0.005
+
+
+def test_quality_ties_at_the_fence(spark):
+    """All values equal: the spread is 0 at every level and each document lies on its fences."""
+    docs = spark.range(200).selectExpr("id as doc_id", "'some words of one text' as text", "cast(null as string) as lang", "if(id < 100, 'a', null) as source")
+    assert quality.keep_good(docs).count() == 200
