@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,6 @@ _NAME = re.compile(r"<(/?[a-z][a-z0-9]*)", re.IGNORECASE)
 _MARK = {"article", "/article", "main", "/main"}
 
 
-@lru_cache(maxsize=20_000)
 def _tag(token: str) -> str:
     m = _NAME.match(token)
     return m[1].lower() if m else OTHER
@@ -46,7 +44,7 @@ def kind(token: str) -> str:
     """``word`` or the name of the tag, with a slash if it closes."""
     if token[0] != "<" or len(token) == 1:
         return WORD
-    return _tag(token if len(token) < 40 else token[:40])
+    return _tag(token)
 
 
 def best(score: np.ndarray) -> tuple[int, int, float]:
@@ -113,15 +111,16 @@ def content(page: str, weights: dict[str, float]) -> tuple[str, float, int]:
 
 
 def train(pages: DataFrame, id: str = "page_id", source: str = "html", labelled: int = LABELLED) -> dict[str, float]:
-    """Weights from at most ``labelled`` pages that have one <article> or <main>."""
+    """Weights from at most ``labelled`` pages that have an <article> or <main>. Pages without an id don't take
+    part; of pages that repeat an id the least counts, so that what reaches the driver is bounded."""
     own = pick(pages, id=id, html=source).filter(F.col("id").isNotNull() & F.lower("html").rlike("<(article|main)[ >]"))
-    chosen = own.select("id", hashed(F.col("id")).alias("h")).orderBy("h", "id").limit(labelled)
-    ids = [r[0] for r in chosen.collect()]  # bounded by labelled
-    if not ids:
+    ids = own.select("id").distinct().select("id", hashed(F.col("id")).alias("h"))
+    chosen = ids.orderBy("h", "id").limit(labelled).select("id").collect()
+    if not chosen:
         return learn([])
-    wanted = pages.sparkSession.createDataFrame([(i,) for i in set(ids)], own.select("id").schema)
-    rows = own.join(F.broadcast(wanted), "id", "left_semi").collect()
-    return learn([r["html"] for r in sorted(rows, key=lambda r: (str(r["id"]), r["html"]))])
+    wanted = pages.sparkSession.createDataFrame(chosen, own.select("id").schema)
+    rows = own.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min("html").alias("html")).collect()
+    return learn([r["html"] for r in sorted(rows, key=lambda r: str(r["id"]))])
 
 
 def extract(pages: DataFrame, id: str = "page_id", source: str = "html", weights: dict[str, float] | None = None) -> DataFrame:

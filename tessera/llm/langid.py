@@ -31,31 +31,29 @@ LEAST_SCORE = 0.1
 UNKNOWN = "und"
 _ROWS = 128
 _CODES = 256 + 65536 + (1 << 24)
-_seen: list[np.ndarray] = []
 
 
-def grams(text: str) -> np.ndarray:
-    """Codes of the distinct n-grams of 1, 2 and 3 bytes of a text."""
+def codes(text: str) -> np.ndarray:
+    """Codes of the n-grams of 1, 2 and 3 bytes of a text, in order, each as often as it occurs."""
     b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-    if not len(b):
-        return b
     two = (b[:-1] << 8) | b[1:]
-    codes = np.concatenate([b, two + 256, ((two[:-1] << 8) | b[2:]) + 65792])
-    if not _seen:
-        _seen.append(np.zeros(_CODES, np.int32))
-    at = np.arange(len(codes), dtype=np.int32)
-    _seen[0][codes] = at  # of equal codes the last one's place stays
-    return codes[_seen[0][codes] == at]
+    return np.concatenate([b, two + 256, ((two[:-1] << 8) | b[2:]) + 65792])
+
+
+def grams(text: str) -> np.ndarray:
+    """Codes of the distinct n-grams of a text."""
+    return np.unique(codes(text))
 
 
 def _presence(texts: list[str], place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows x known n-grams, 0 or 1; the number of n-grams of each text, known or not)."""
     x, n = np.zeros((len(texts), width), np.float32), np.ones(len(texts), np.float32)
     for i, t in enumerate(texts):
-        g = grams(t)
-        n[i] = max(len(g), 1)
-        at = place[g]
-        x[i, at[at >= 0]] = 1
+        c = codes(t)
+        at = place[c]
+        known = at >= 0
+        x[i, at[known]] = 1
+        n[i] = max(int(x[i].sum()) + len(np.unique(c[~known])), 1)
     return x, n
 
 
@@ -106,34 +104,22 @@ class Scorer:
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> dict | None:
-    """Fits on at most ``per_language`` rows of each language, those of the lowest hashes of their ids.
-    Rows without id, text or language don't take part."""
+    """Fits on at most ``per_language`` texts of each language, those of the lowest hashes of their ids. Rows
+    without id, text or language don't take part; of rows that repeat an id in a language the least text
+    counts, so that what reaches the driver is bounded whatever repeats."""
     own = pick(docs, id=id, text=text, lang=lang).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
+    ids = own.select("lang", "id").distinct().withColumn("h", hashed(F.col("id")))
     w = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = own.select("id", "lang", hashed(F.col("id")).alias("h")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language)
-    ids = [r[0] for r in chosen.select("id").distinct().collect()]  # bounded by per_language
-    if not ids:
+    chosen = ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select(F.col("lang").alias("_lang"), F.col("id").alias("_id")).collect()
+    if not chosen:
         return None
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], own.select("id").schema)
-    rows = own.join(F.broadcast(wanted), "id", "left_semi").collect()
-    rows = sorted({(r["lang"], r["id"]): r for r in sorted(rows, key=lambda r: r["text"], reverse=True)}.values(), key=lambda r: (r["lang"], str(r["id"])))
-    rows = [r for k in sorted({r["lang"] for r in rows}) for r in [x for x in rows if x["lang"] == k][:per_language]]
+    fields = own.select(F.col("lang").alias("_lang"), F.col("id").alias("_id")).schema
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, fields))
+    rows = own.join(wanted, (F.col("lang") == F.col("_lang")) & (F.col("id") == F.col("_id")), "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: (r["lang"], str(r["id"])))  # one a chosen id
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(broadcast) -> Scorer | None:
-    if broadcast.value is None:
-        return None
-    key = id(broadcast.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(broadcast.value)
-    return _scorers[key]
-
-
 def identify(docs: DataFrame, text: str = "text", model: dict | None = None, least: float = LEAST_SCORE, **kw) -> DataFrame:
     """The columns of ``docs`` as ``_c0, ...`` with ``_language`` and ``_score``.
 
@@ -146,7 +132,7 @@ def identify(docs: DataFrame, text: str = "text", model: dict | None = None, lea
     flat, at = numbered(docs), position(docs, text)
 
     def run(batches):
-        scorer = _scorer(shared)
+        scorer = Scorer(shared.value) if shared.value is not None else None  # let go with the task
         for whole in batches:
             for lo in range(0, whole.num_rows, 4 * _ROWS):
                 b = whole.slice(lo, 4 * _ROWS)
