@@ -3,7 +3,9 @@
 An archive starts with a version block that names its version (1 or 2) and the fields of its record
 lines; each record is such a line and as many bytes as its last field declares. For each record the
 WARC identifier, timestamp, type and digests are made from what the ARC holds, the same on each run.
-One map stage over the archives; a record's bytes are not copied out of its archive but for the digests.
+One map stage over the archives. gzip members are inflated one after the other, so that what is held at a
+time is an archive and one member (archives that are one single member are inflated whole). A damaged
+member gives an error row and reading goes on with the next one.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +33,30 @@ COLUMNS = ("record_id", "warc_type", "warc_date", "target_uri", "ip_address", "c
 _OUT = "archive string, offset bigint, " + ", ".join(f"{c} string" for c in COLUMNS) + ", block_length bigint"
 
 
-def _inflate(raw: bytes) -> bytes:
-    """The bytes of one or more gzip members; what follows a damaged one is left out."""
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
+_MAGIC = b"\x1f\x8b\x08"
+#: Compressed bytes given to the inflater at once.
+_STEP = 1 << 16
+
+
+def _members(raw: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """(place, bytes) of each gzip member, None for a damaged one; after it the next place that looks like
+    the head of a member is tried. Bytes between members are left out."""
+    at = 0
+    while at >= 0:
+        d, end, out = zlib.decompressobj(31), at, []
         try:
-            out.append(d.decompress(raw) + d.flush())
+            while not d.eof and end < len(raw):
+                out.append(d.decompress(raw[end : end + _STEP]))
+                end = min(end + _STEP, len(raw))
+            good = d.eof
         except zlib.error:
-            break
-        raw = d.unused_data
-    return b"".join(out)
+            good = False
+        if good:
+            yield at, b"".join(out)
+            at = raw.find(_MAGIC, end - len(d.unused_data))
+        else:
+            yield at, None
+            at = raw.find(_MAGIC, at + 1)
 
 
 def warc_date(stamp: bytes) -> str | None:
@@ -70,44 +86,82 @@ def payload(block: bytes) -> bytes:
     return block[i + n :]
 
 
+def _empty(archive: str, offset: int, error: str) -> dict:
+    return dict.fromkeys(COLUMNS) | {"archive": archive, "offset": offset, "block_length": None, "error": error}
+
+
+def _record_length(line: bytes) -> int | None:
+    last = line.rsplit(b" ", 1)[-1]
+    return int(last) if last.isdigit() else None
+
+
 def records(archive: str, raw: bytes | None, with_block: bool = False) -> Iterator[dict]:
-    """The WARC records of one archive, or a last row with ``error`` where it can't be read on."""
-    empty = dict.fromkeys(COLUMNS) | {"archive": archive, "offset": 0, "block_length": None}
-    data = _inflate(raw) if raw and raw[:2] == b"\x1f\x8b" else raw or b""
-    if not data:
-        yield empty | {"error": "empty archive"}
+    """The WARC records of one archive. What can't be read gives a row with ``error``: a damaged gzip member,
+    after which reading goes on with the next one, or a damaged line, which ends plain archives but only
+    the member it is in of compressed ones. Offsets count the inflated bytes of whole members."""
+    if not raw:
+        yield _empty(archive, 0, "empty archive")
         return
-    at, fields = 0, None
+    fields, base, held = None, 0, b""
+    several = raw[:2] == _MAGIC[:2]
+    for _, part in _members(raw) if several else [(0, raw)]:
+        if part is None:
+            if held:
+                fields, rows, _ = _parse(archive, held, base, fields, with_block, True)
+                yield from rows
+                base, held = base + len(held), b""
+            yield _empty(archive, base, "damaged gzip member")
+            fields = fields or ()  # if that was the version block, the number of fields tells the version
+            continue
+        held += part
+        fields, rows, used = _parse(archive, held, base, fields, with_block, not several)
+        yield from rows
+        base, held = base + used, held[used:]
+    if held:
+        yield from _parse(archive, held, base, fields, with_block, True)[1]
+    elif not base and fields is None and not several:
+        yield _empty(archive, 0, "empty archive")
+
+
+def _parse(archive: str, data: bytes, base: int, fields: Sequence[bytes] | None, with_block: bool, last: bool) -> tuple[Sequence[bytes] | None, list[dict], int]:
+    """(fields of the record lines, records, bytes read) of ``data``, which begins ``base`` bytes into the
+    archive. Unless these are the ``last`` bytes, a record that they don't hold whole is left for later."""
+    at, out = 0, []
+
+    def failed(head: int, error: str) -> tuple[Sequence[bytes] | None, list[dict], int]:
+        return fields, [*out, _empty(archive, base + head, error)], len(data)
+
     while at < len(data):
         while data[at : at + 1] in (b"\n", b"\r"):
             at += 1
         if at >= len(data):
-            return
+            break
         head, end = at, data.find(b"\n", at)
         if end < 0:
-            yield empty | {"offset": head, "error": "record line without end"}
-            return
+            return failed(head, "record line without end") if last else (fields, out, head)
         line = data[at:end].rstrip(b"\r")
         if fields is None:
             if not line.startswith(b"filedesc:"):
-                yield empty | {"offset": head, "error": "no version block"}
-                return
+                return failed(head, "no version block")
+            length = _record_length(line)
+            if not last and length is not None and end + 1 + length > len(data):
+                return fields, out, head
             version = data[end + 1 : end + 2]
             if version not in FIELDS:
-                yield empty | {"offset": head, "error": "unknown version"}
-                return
+                return failed(head, "unknown version")
             first = data.find(b"\n", end + 1)
             named = data[first + 1 : data.find(b"\n", first + 1)].split() if first >= 0 else []
             fields = named if named and named[-1] == b"Archive-length" and set(named) <= set(FIELDS[version]) else FIELDS[version]
             own = FIELDS[b"1"] if len(line.split(b" ")) == len(FIELDS[b"1"]) else fields
         else:
-            own = fields
+            own = fields or FIELDS[b"2" if len(line.split(b" ")) >= len(FIELDS[b"2"]) else b"1"]
         parts = line.rsplit(b" ", len(own) - 1)
         if len(parts) != len(own) or not parts[-1].isdigit():
-            yield empty | {"offset": head, "error": "bad record line"}
-            return
+            return failed(head, "bad record line")
         row = dict(zip(own, parts, strict=True))
         length = int(row[b"Archive-length"])
+        if not last and end + 1 + length > len(data):
+            return fields, out, head
         block = data[end + 1 : end + 1 + length]
         at = end + 1 + length
         url, mime = row[b"URL"].decode("utf-8", "replace"), row.get(b"Content-type", b"").decode("latin-1")
@@ -122,10 +176,11 @@ def records(archive: str, raw: bytes | None, with_block: bool = False) -> Iterat
             type_, content, body = "resource", mime or "application/octet-stream", block
         date = warc_date(row.get(b"Archive-date", b""))
         ip = row.get(b"IP-address", b"").decode("latin-1")
-        yield {
-            "archive": archive, "offset": head, "record_id": record_id(archive, head, url, date or ""), "warc_type": type_, "warc_date": date, "target_uri": None if type_ == "warcinfo" else url, "ip_address": None if ip in ("", "-", "0.0.0.0") else ip,
+        out.append({
+            "archive": archive, "offset": base + head, "record_id": record_id(archive, base + head, url, date or ""), "warc_type": type_, "warc_date": date, "target_uri": None if type_ == "warcinfo" else url, "ip_address": None if ip in ("", "-", "0.0.0.0") else ip,
             "content_type": content, "block_digest": digest(block), "payload_digest": digest(body) if type_ != "warcinfo" else None, "truncated": "length" if len(block) < length else None, "error": None if date else "bad date", "block_length": len(block),
-        } | ({"block": block} if with_block else {})
+        } | ({"block": block} if with_block else {}))
+    return fields, out, len(data)
 
 
 def warc_bytes(row: dict) -> bytes:
@@ -139,21 +194,19 @@ def convert(archives: DataFrame, archive: str = "archive", content: str = "conte
     """One row for each record of each archive: the WARC header's fields.
 
     A null or empty archive, one without a version block, a damaged record line and a missing line end
-    give one row with ``error`` in place of the rest of the archive; a record cut short is marked
-    truncated; an impossible date is null with ``error``. Null archive names count as empty ones,
-    repeated archives are converted each, other columns not looked at, and an empty table gives an
-    empty one. gzip members are inflated."""
+    give one row with ``error`` in place of the rest of the archive (of the gzip member, if it has
+    several); so does each damaged gzip member, and the records of the others follow; a record cut short
+    is marked truncated; an impossible date is null with ``error``. Null archive names count as empty
+    ones, repeated archives are converted each, other columns, whatever their names, not looked at, and
+    an empty table gives an empty one."""
     own = pick(archives, archive=archive, content=content)
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                rows = [r for a, c in zip(part.column(0), part.column(1), strict=True) for r in records(a.as_py() or "", c.as_py())]
-                if rows:
-                    names = ["archive", "offset", *COLUMNS, "block_length"]
-                    kinds = [pa.string(), pa.int64(), *[pa.string()] * len(COLUMNS), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+        names = ["archive", "offset", *COLUMNS, "block_length"]
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * len(COLUMNS), pa.int64()]
+        found = (r for b in batches for a, c in zip(b.column(0), b.column(1), strict=True) for r in records(a.as_py() or "", c.as_py()))
+        while rows := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     return own.mapInArrow(run, _OUT)
 
