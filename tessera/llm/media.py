@@ -2,18 +2,21 @@
 spectrum, and its peaks, paired, give fingerprints: one number for each pair of an anchor and a later
 peak, coded with the anchor's time, so that two recordings can be aligned by the difference of times.
 
-Everything happens in one map stage over the rows; nothing is shuffled.
+Everything happens in one map stage over the rows; nothing is shuffled. A recording is read and transformed
+in blocks of frames, so that its length costs no memory but that of its bytes and its peaks.
 """
 
 from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.chunks import runs
 from tessera.plans.columns import pick
 from tessera.sources.tables import table
 
@@ -22,23 +25,16 @@ FFT, HOP = 256, 128
 NEAR = (3, 5)
 #: Peaks are at least this much below the loudest of the recording (as a ratio of magnitudes).
 FLOOR = 0.05
+#: Later peaks that an anchor is paired with, and frames up to which they may be away: the pairs of a peak
+#: that the fingerprint is made of, by the definition of the method.
 FAN, REACH = 5, 31
+#: Frames of a block.
+BLOCK = 2048
 RATE, NOTE = 8000, 256
 
 
-def read_wav(raw: bytes | None) -> tuple[int, np.ndarray] | None:
-    """(sample rate, mono samples in -1..1) of PCM WAV bytes; None where they are none."""
-    if not raw:
-        return None
-    try:
-        with wave.open(io.BytesIO(raw)) as w:
-            rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
-            data = w.readframes(w.getnframes())
-    except (wave.Error, EOFError, ValueError):
-        return None
-    if width not in (1, 2, 3, 4) or not channels:
-        return None
-    data = data[: len(data) // (width * channels) * width * channels]
+def _samples(data: bytes, width: int, channels: int) -> np.ndarray:
+    """Mono samples in -1..1 of PCM frames."""
     if width == 1:
         x = np.frombuffer(data, np.uint8).astype(np.float64) - 128
     elif width == 3:
@@ -46,7 +42,30 @@ def read_wav(raw: bytes | None) -> tuple[int, np.ndarray] | None:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float64)
     else:
         x = np.frombuffer(data, f"<i{width}").astype(np.float64)
-    return rate, x.reshape(-1, channels).mean(axis=1) / float(1 << (8 * width - 1))
+    return x.reshape(-1, channels).mean(axis=1) / float(1 << (8 * width - 1))
+
+
+def read_wav(raw: bytes | None, block: int = BLOCK * HOP) -> tuple[int, Iterator[np.ndarray]] | None:
+    """(sample rate, mono samples in blocks) of PCM WAV bytes; None where they are none."""
+    if not raw:
+        return None
+    try:
+        w = wave.open(io.BytesIO(raw))
+        rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
+    except (wave.Error, EOFError, ValueError):
+        return None
+    if width not in (1, 2, 3, 4) or not channels:
+        return None
+
+    def blocks() -> Iterator[np.ndarray]:
+        while data := w.readframes(block):
+            whole = len(data) // (width * channels) * width * channels
+            if whole:
+                yield _samples(data[:whole], width, channels)
+            if whole < len(data):
+                return
+
+    return rate, blocks()
 
 
 def spectrum(x: np.ndarray) -> np.ndarray:
@@ -67,34 +86,58 @@ def _largest(s: np.ndarray, reach: int, axis: int) -> np.ndarray:
     return out
 
 
-def peaks(s: np.ndarray) -> np.ndarray:
-    """(frame, bin) of values that are the largest of their neighbourhood and above the floor, in
-    order of time, then frequency. Equal values are both peaks; silence has none."""
-    if not s.size or s.max() <= 0:
-        return np.zeros((0, 2), np.int64)
-    top = _largest(_largest(s, NEAR[0], 0), NEAR[1], 1)
-    return np.argwhere((s == top) & (s >= FLOOR * s.max()))
+def peaks(blocks: Iterable[np.ndarray]) -> tuple[np.ndarray, int]:
+    """((frame, bin) of the values that are the largest of their neighbourhood and above the floor, in order
+    of time, then frequency; number of samples) of a recording in blocks of samples. Equal values are
+    both peaks; silence has none. Each block of frames is looked at with its neighbours' edges."""
+    near, found, loud, size = NEAR[0], [], 0.0, 0
+    rest, edge, first = np.zeros(0), np.zeros((0, FFT // 2 + 1)), 0  # samples; frames not yet done, with the number of the first
+
+    def look(s: np.ndarray, begin: int, end: int) -> None:
+        top = _largest(_largest(s, near, 0), NEAR[1], 1)[begin:end]
+        own = s[begin:end]
+        at = np.argwhere((own == top) & (own > 0))
+        found.append((at + [first + begin, 0], own[at[:, 0], at[:, 1]]))
+
+    for x in blocks:
+        size += len(x)
+        rest = np.concatenate([rest, x])
+        s = spectrum(rest)
+        rest = rest[len(s) * HOP :]
+        loud = max(loud, float(s.max(initial=0)))
+        s = np.concatenate([edge, s])
+        begin = 0 if not first else near
+        if len(s) > begin + 2 * near:
+            end = len(s) - near
+            look(s, begin, end)
+            edge, first = s[end - near :], first + end - near
+        else:
+            edge = s
+    if len(edge):
+        look(edge, 0 if not first else near, len(edge))
+    if not found or loud <= 0:
+        return np.zeros((0, 2), np.int64), size
+    at, high = (np.concatenate(c) for c in zip(*found, strict=True))
+    return at[high >= FLOOR * loud], size
 
 
 def fingerprints(at: np.ndarray) -> np.ndarray:
     """anchor frame << 32 | anchor bin << 20 | other bin << 8 | frames between, for each peak and the
     FAN next ones of later frames up to REACH frames away."""
-    out = []
-    n = len(at)
-    for i in range(n):
-        lo = int(np.searchsorted(at[:, 0], at[i, 0], side="right"))
-        hi = int(np.searchsorted(at[:, 0], at[i, 0] + REACH, side="right"))
-        for j in range(lo, min(lo + FAN, hi)):
-            out.append(int(at[i, 0]) << 32 | int(at[i, 1]) << 20 | int(at[j, 1]) << 8 | int(at[j, 0] - at[i, 0]))
-    return np.array(out, np.int64)
+    at = at.astype(np.int64)
+    frame = at[:, 0]
+    lo = np.searchsorted(frame, frame, side="right")
+    n = np.minimum(np.searchsorted(frame, frame + REACH, side="right") - lo, FAN)
+    one, other = np.repeat(np.arange(len(at)), n), np.repeat(lo, n) + runs(n)
+    return frame[one] << 32 | at[one, 1] << 20 | at[other, 1] << 8 | frame[other] - frame[one]
 
 
 def fingerprint(media: DataFrame, id: str = "id", wav: str = "wav") -> DataFrame:
     """(id, sample_rate, n_samples, n_peaks, fingerprints) of every row.
 
     Null, empty or damaged bytes have a null sample rate, no samples and no fingerprints; silence and
-    recordings under one frame have no peaks; ids may be null or repeated; other columns are not
-    looked at; an empty table gives an empty one."""
+    recordings under one frame have no peaks; recordings may be of any length; ids may be null or
+    repeated; other columns, whatever their names, are not looked at; an empty table gives an empty one."""
     own = pick(media, id=id, wav=wav)
     kind = own.schema["id"].dataType.simpleString()
 
@@ -105,9 +148,9 @@ def fingerprint(media: DataFrame, id: str = "id", wav: str = "wav") -> DataFrame
                 rate, size, count, marks = [], [], [], []
                 for raw in part.column("wav"):
                     read = read_wav(raw.as_py())
-                    at = peaks(spectrum(read[1])) if read else np.zeros((0, 2), np.int64)
+                    at, samples = peaks(read[1] if read else ())
                     rate.append(read[0] if read else None)
-                    size.append(len(read[1]) if read else 0)
+                    size.append(samples)
                     count.append(len(at))
                     marks.append(fingerprints(at))
                 columns = [part.column("id"), pa.array(rate, pa.int64()), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
