@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-#: Sides up to this many rows may be sent to every executor.
-SMALL_ROWS = 1_000_000
+#: Bytes of a table, as stored, up to which it may be sent to every executor.
+SMALL_BYTES = 16_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a single-JVM session may set its own."""
+    """The folder named by ``spark.checkpoint.dir``. Only a single-JVM session without one may set its own,
+    in Spark's warehouse."""
     found = spark.conf.get(SETTING, None)
     if not found:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"{SETTING} must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tessera-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir', os.getcwd()).rstrip('/')}/_tessera-{uuid.uuid4().hex}"
         spark.conf.set(SETTING, found)
+        atexit.register(shutil.rmtree, urlparse(found).path, ignore_errors=True)
     return found.rstrip("/")
 
 
@@ -46,7 +51,13 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` (a cheap one, such as a written table) with a broadcast hint if it has at most
-    ``max_rows`` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def stored_bytes(df: DataFrame) -> int:
+    """Catalyst's size of ``df``, without running anything: that of its files for a written table, an upper
+    bound for what filters and projections make of one, far too much for joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df``, best a written table, with a broadcast hint if it is stored in at most ``max_bytes``, else as it
+    is, for a join that Spark plans by the sizes it meets."""
+    return F.broadcast(df) if stored_bytes(df) <= max_bytes else df
