@@ -8,12 +8,18 @@
    short without any being cut.
 3. In each list all nodes are held against its smallest one. Candidates pass the estimate from the
    sketch of the union (its k smallest values, how many are in both) and then the exact Jaccard
-   similarity of the whole sets. What is found to be in one group needs no further pairs; all other
-   pairs of a list, between different groups, follow in the same way.
-4. Groups are the connected components of the verified pairs.
-
-So a group of thousands costs thousands of pairs, not their square, and the groups are those that all
-candidate pairs would give.
+   similarity of the whole sets. What is found to be in one group needs no further pairs.
+4. Pairs of a list between different groups follow in the same way, where a list is short. Long lists,
+   of documents that have a passage in common but aren't duplicates of the smallest, are listed anew by
+   the values of their whole sets: similar sets share ``threshold`` of the values of either, so one among
+   the rarest ``1 - threshold`` of each, and the passage isn't there unless it makes up as much of a
+   document. Values within one group alone need no list.
+5. Groups are the connected components of the verified pairs.
+
+So a group of thousands costs thousands of pairs, not their square, so do thousands of documents that
+share less than ``threshold`` of their text, and the groups are those that all candidate pairs would
+give. What remains quadratic is documents that share more than that share of their shingles without
+being similar (from a half to two thirds of documents of equal length).
 """
 
 from __future__ import annotations
@@ -22,14 +28,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import mix, over_texts
 from tessera.llm.words import WORDS_SQL, ngram_hashes, word_hashes
 from tessera.plans.columns import numbered, pick, position
 from tessera.plans.graph import components
-from tessera.plans.scratch import SMALL_ROWS, Scratch
+from tessera.plans.scratch import Scratch, small
 from tessera.sources.tables import table
 
 #: Words of a shingle; documents of fewer words are one shingle.
@@ -39,6 +45,8 @@ K = 64
 THRESHOLD = 0.5
 #: Standard errors below the threshold at which the estimate still lets a pair be verified.
 MARGIN = 3.2
+#: Nodes of a list whose pairs are all looked at; longer lists are listed anew by whole sets.
+SHORT = 32
 
 
 def shingle_sets(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
@@ -86,6 +94,25 @@ def _whole_sets(own: DataFrame) -> DataFrame:
     return own.mapInArrow(over_texts(kernel), f"id {kind}, set binary")
 
 
+def _shingles(own: DataFrame) -> DataFrame:
+    """(id, values): the whole shingle sets."""
+    kind = own.schema["id"].dataType.simpleString()
+
+    def kernel(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        sets = shingle_sets(texts)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["id", "values"])
+
+    return own.mapInArrow(over_texts(kernel), f"id {kind}, values array<bigint>")
+
+
+def _pairs(left: DataFrame, close: Column) -> DataFrame:
+    """Distinct pairs (a, b) of the nodes of each list (v, node, n, root) that are in different groups."""
+    right = left.select("v", F.col("node").alias("b"), F.col("n").alias("o"), F.col("root").alias("other"))
+    pairs = left.join(right, "v").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("other"))).filter(close)
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
+
+
 def _exact(pairs: DataFrame, kind: str, threshold: float) -> DataFrame:
     """The pairs (a, b, x, y) whose sets x and y are similar enough."""
 
@@ -105,7 +132,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: f
     """(id, group_id) of every document that has a near duplicate; group_id is the smallest id.
 
     Rows with a null id or without words (null, empty, signs only) have none. Rows that repeat an id
-    are one document with the shingle sets of all of them. Whole texts of any length count; other
+    are one document with the shingle sets of all of them: it is in the group of each. Whole texts of any length count; other
     columns are not looked at; an empty table gives an empty one."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -129,16 +156,15 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: f
         both = pairs.join(side.select(F.col("node").alias("a"), F.col("sketch").alias("s"), F.col("n").alias("ns")), "a").join(side.select(F.col("node").alias("b"), F.col("sketch").alias("t"), F.col("n").alias("nt")), "b")
         union = F.slice(F.array_sort(F.array_union("s", "t")), 1, k)
         common = F.array_intersect("s", "t")
-        small = (F.col("ns") <= k) & (F.col("nt") <= k)
+        few = (F.col("ns") <= k) & (F.col("nt") <= k)
         # sketches of small sets are the sets themselves
         whole = F.size(common) / F.size(F.array_union("s", "t"))
-        estimate = F.when(small, whole).otherwise(F.size(F.array_intersect(union, common)) / F.size(union))
-        likely = both.select("a", "b", small.alias("small"), estimate.alias("e")).filter(F.col("e") >= F.when(F.col("small"), threshold).otherwise(low))
+        estimate = F.when(few, whole).otherwise(F.size(F.array_intersect(union, common)) / F.size(union))
+        likely = both.select("a", "b", few.alias("small"), estimate.alias("e")).filter(F.col("e") >= F.when(F.col("small"), threshold).otherwise(low))
         likely = scratch.write(likely.select("a", "b", "small").distinct(), f"{name}-likely")
         open_ = likely.filter("not small")
         wanted = scratch.write(open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct(), f"{name}-wanted")
-        hint = F.broadcast(wanted) if wanted.count() <= SMALL_ROWS else wanted
-        sets = scratch.write(_whole_sets(own.join(hint, "id", "left_semi")), f"{name}-sets")
+        sets = scratch.write(_whole_sets(own.join(small(wanted), "id", "left_semi")), f"{name}-sets")
         loaded = open_.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         found = scratch.write(_exact(loaded, kind, threshold).unionByName(likely.filter("small").select("a", "b")).distinct(), name)
         scratch.drop(f"{name}-wanted", f"{name}-sets")
@@ -151,11 +177,20 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: f
     first = similar(stars, "first")
     root = components(first, scratch, "r")
     placed = scratch.write(lists.join(root, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
-    left = placed.join(mixed, "v", "left_semi")
-    right = left.select("v", F.col("node").alias("b"), F.col("n").alias("o"), F.col("root").alias("other"))
-    rest = left.join(right, "v").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("other"))).filter(close)
-    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("v", "c")
+    mixed = scratch.write(mixed, "mixed")
+    rest = _pairs(placed.join(mixed.filter(F.col("c") <= SHORT), "v", "left_semi"), close)
+
+    # long lists anew, by the whole sets of their nodes and by values that several groups have
+    hot = scratch.write(placed.join(mixed.filter(F.col("c") > SHORT), "v", "left_semi").select("node", "n", "root").distinct(), "hot")
+    full = _shingles(own.join(small(hot.select(F.col("node").alias("id"))), "id", "left_semi")).select(F.col("id").alias("node"), F.explode("values").alias("v"))
+    full = scratch.write(full.join(small(hot), "node"), "hot-values")
+    shared = full.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).filter("lo <> hi").select("v", "df")
+    held = full.join(shared, "v").groupBy("node", "n", "root").agg(F.array_sort(F.collect_set(F.struct("df", "v"))).alias("held"))
+    listed = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int"))
+    again = scratch.write(held.select("node", "n", "root", F.explode(listed).alias("x")).select("node", "n", "root", F.col("x.v").alias("v")), "hot-lists")
+    scratch.drop("hot-values")
+    rest = rest.unionByName(_pairs(again, close)).distinct().join(stars, ["a", "b"], "left_anti")
     second = similar(scratch.write(rest, "rest"), "second")
     linked = components(first.unionByName(second), scratch, "g")
 
@@ -172,13 +207,11 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", **kw) -> DataFrame:
     at = f"_c{position(docs, id)}"
     found = groups(docs, id, **kw)
     out = scratch.write(found.filter(F.col(id) != F.col("group_id")).select(F.col(id).alias("_gone")), "gone")
-    out = F.broadcast(out) if out.count() <= SMALL_ROWS else out
-    kept = numbered(docs).join(out, F.col(at) == F.col("_gone"), "left_anti")
+    kept = numbered(docs).join(small(out), F.col(at) == F.col("_gone"), "left_anti")
     ids = pick(docs, i=id).filter("i is not null").groupBy("i").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("i").alias("_gone"))
     repeated = scratch.write(ids, "repeated")
-    n = repeated.count()
-    if n:
-        hint = F.broadcast(repeated) if n <= SMALL_ROWS else repeated
+    if not repeated.isEmpty():
+        hint = small(repeated)
         again = kept.join(hint, F.col(at) == F.col("_gone"), "left_semi").dropDuplicates([at])
         kept = kept.join(hint, F.col(at) == F.col("_gone"), "left_anti").unionByName(again)
     return kept.toDF(*docs.columns)
