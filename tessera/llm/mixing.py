@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.columns import numbered, position
-from tessera.plans.scratch import SMALL_ROWS, Scratch
+from tessera.plans.scratch import Scratch, small
 from tessera.sources.tables import table
 
 #: Bits of the hash that each round of buckets looks at.
@@ -55,8 +55,9 @@ def _budgets(totals: DataFrame, weights: Mapping[str, int], default: int, budget
 def thresholds(docs: DataFrame, tokens: Column | None = None, id: str = "doc_id", source: str = "source", text: str = "text", weights: Mapping[str, int] = WEIGHTS, default_weight: int = 1, budgets: Sequence[str] = BUDGETS) -> DataFrame:
     """(source, level, threshold): documents with a hash below the threshold are within the budget.
 
-    A budget is floor(corpus tokens * share / sum of weights) * weight of the source. The threshold is
-    the largest for which the tokens below it don't exceed the budget, 2^60 where all fit. Documents of
+    A budget is floor(corpus tokens * share / sum of weights) * weight of the source: weights bound what a
+    source gets. A source with fewer tokens than its budget is taken whole, and what it leaves isn't given
+    to others, so that a mix never has more of a source than its weight allows. The threshold is the largest for which the tokens below it don't exceed the budget, 2^60 where all fit. Documents of
     one hash (repeated rows, null ids) come in or stay out together. One row a source and level, read
     from a written table."""
     spark = docs.sparkSession
@@ -65,6 +66,7 @@ def thresholds(docs: DataFrame, tokens: Column | None = None, id: str = "doc_id"
     text_at = F.col(f"_c{position(docs, text)}") if tokens is None else None
     amount = words_of(text_at) if tokens is None else tokens
     own = flat.select(F.col(f"_c{position(docs, source)}").alias("source"), hashed(F.col(f"_c{position(docs, id)}")).alias("h"), F.coalesce(amount, F.lit(0)).cast("bigint").alias("tokens"))
+    own = scratch.write(own, "hashed")  # the texts are split once, not in each round
     left = BITS - ROUNDS[0]
     first = scratch.write(own.groupBy("source", F.shiftright("h", left).alias("bucket")).agg(F.sum("tokens").alias("tokens")), "round0")
     goal = scratch.write(_budgets(first.groupBy("source").agg(F.sum("tokens").alias("tokens")), weights, default_weight, [Fraction(b) for b in budgets]), "budgets")
@@ -84,18 +86,14 @@ def thresholds(docs: DataFrame, tokens: Column | None = None, id: str = "doc_id"
         state = crossed.filter(F.col("at.bucket").isNotNull()).select("source", "level", (F.col("rest") - F.col("at.before")).alias("rest"), F.expr(f"shiftleft(prefix, {bits}) + at.bucket").alias("prefix"))
         done = whole if done is None else done.unionByName(whole)
         if i + 1 < len(ROUNDS):
-            edge = state.select(F.col("source").alias("s"), F.col("prefix").alias("p")).distinct()
-            edge = _sized(edge)
+            edge = small(scratch.write(state.select(F.col("source").alias("s"), F.col("prefix").alias("p")).distinct(), f"edge{i}"))
             near = own.withColumn("prefix", F.shiftright("h", left)).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p")), "left_semi")
             bucket = F.expr(f"shiftright(h, {left - ROUNDS[i + 1]}) & {(1 << ROUNDS[i + 1]) - 1}L")
             counts = scratch.write(near.groupBy("source", "prefix", bucket.alias("bucket")).agg(F.sum("tokens").alias("tokens")), f"round{i + 1}")
     done = done.unionByName(state.select("source", "level", F.col("prefix").alias("threshold")))
-    return scratch.write(done, "thresholds")
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast up to SMALL_ROWS rows (one a source and budget), shuffled beyond."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    done = scratch.write(done, "thresholds")
+    scratch.drop("hashed", "budgets", *(f"{k}{i}" for i in range(len(ROUNDS)) for k in ("round", "crossed")), *(f"edge{i}" for i in range(len(ROUNDS) - 1)))
+    return done
 
 
 def mix(docs: DataFrame, tokens: Column | None = None, id: str = "doc_id", source: str = "source", text: str = "text", **kw) -> DataFrame:
@@ -110,7 +108,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, id: str = "doc_id", sourc
     by_source = found.groupBy(F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("level", "threshold"))).alias("_levels"))
     flat, here = numbered(docs), F.col(f"_c{position(docs, source)}")
     flat = flat.withColumn("_hash", hashed(F.col(f"_c{position(docs, id)}")))
-    joined = flat.join(_sized(by_source), here.eqNullSafe(F.col("_source")))
+    joined = flat.join(small(Scratch(docs.sparkSession, "levels").write(by_source, "levels")), here.eqNullSafe(F.col("_source")))
     within = F.filter("_levels", lambda x: F.col("_hash") < x["threshold"])
     return joined.withColumn("_level", F.array_min(F.transform(within, lambda x: x["level"]))).filter(F.col("_level").isNotNull()).drop("_hash", "_source", "_levels")
 
