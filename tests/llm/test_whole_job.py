@@ -10,7 +10,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tessera.llm import langid, lm, quality
+from tessera.llm import langid, lm, mixing, neardup, quality
 from tessera.sources.tables import table
 
 UNSEEN = [
@@ -108,3 +108,84 @@ def test_quality_ties_at_the_fence(spark):
     """All values equal: the spread is 0 at every level and each document lies on its fences."""
     docs = spark.range(200).selectExpr("id as doc_id", "'some words of one text' as text", "cast(null as string) as lang", "if(id < 100, 'a', null) as source")
     assert quality.keep_good(docs).count() == 200
+
+
+def _counted(monkeypatch):
+    """The number of rows of each table that an operator writes."""
+    from tessera.plans.scratch import Scratch
+
+    rows, write = {}, Scratch.write
+
+    def counting(self, df, name):
+        out = write(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counting)
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.25, 0.45])
+def test_documents_that_share_a_passage_cost_no_square_of_pairs(spark, monkeypatch, share):
+    """2,000 documents with one passage in common, and 40 pairs of near copies among them."""
+    rnd = random.Random(13)
+    words = 120
+    passage = [f"p{i}" for i in range(int(words * share))]
+    texts = []
+    for k in range(2000):
+        own = [f"w{rnd.randrange(10**9)}" for _ in range(words - len(passage))]
+        cut = rnd.randrange(len(own))
+        texts.append((k, " ".join(own[:cut] + passage + own[cut:])))
+    for k in range(40):
+        w = texts[k * 7][1].split()
+        w[5] = "other"
+        texts.append((5000 + k, " ".join(w)))
+    rows = _counted(monkeypatch)
+    got = {tuple(r) for r in neardup.groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {(x, k * 7) for k in range(40) for x in (k * 7, 5000 + k)}
+    assert rows["stars"] + rows["rest"] < 10 * len(texts)
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    """Copies, near copies and templates of several shares, in lists of over SHORT nodes: by brute force."""
+    rnd = random.Random(17)
+    texts = []
+    for t in range(3):
+        template = [f"t{t}x{i}" for i in range(60)]
+        for k in range(60):
+            n = rnd.choice([15, 25, 35, 45, 60, 120])
+            body = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(template + body if k % 2 else body + template))
+            if k % 6 == 0:
+                texts.append(" ".join(template[: rnd.randrange(30, 60)] + body))
+    docs = list(enumerate(texts))
+    sets = {i: {tuple(w[j : j + neardup.SHINGLE]) for j in range(len(w) - neardup.SHINGLE + 1)} for i, t in docs for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in range(a + 1, len(docs)):
+            both = len(sets[a] & sets[b])
+            if both >= neardup.THRESHOLD * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    size = Counter(map(find, sets))
+    want = {(i, find(i)) for i in sets if size[find(i)] > 1}
+    assert {tuple(r) for r in neardup.groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == want
+    assert len(want) > 50
+
+
+def test_repeated_ids_with_different_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(5, one), (5, two), (2, one), (9, two + " end"), (7, "something else altogether")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in neardup.groups(docs).collect()} == {2, 5, 9}
+    assert sorted(r["doc_id"] for r in neardup.drop_copies(docs).collect()) in ([2, 5, 7], [2, 7], [2, 7, 9])
+
+
+def test_mixing_budgets_met_exactly_and_null_sources(spark):
+    docs = spark.range(100).selectExpr("id as doc_id", "'w w w w' as text", "cast(null as string) as source")
+    assert mixing.take(docs, budgets=("1/1",)).count() == 100
+    assert mixing.take(docs, budgets=("1/4",)).count() == 25  # 100 of 400 tokens, met to the token
+    assert mixing.take(docs, budgets=("99/400",)).count() == 24
