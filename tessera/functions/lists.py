@@ -47,12 +47,16 @@ def trimmed_overlap(a: Column, b: Column) -> Column:
     return F.arrays_overlap(F.filter(F.transform(a, strip), lambda x: x != ""), F.transform(b, strip))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two double arrays; 0 if either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+def dot(a: Column, b: Column) -> Column:
+    """Of two double arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
 
+def unit(a: Column) -> Column:
+    """A vector brought to length 1, so that the product of two is their cosine; one without length stays."""
+    return F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))[0]
 
-def clamped_mean(total: Column, n: Column) -> Column:
-    return F.when(n > 0, clamp(total / n)).otherwise(0.0)
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two double arrays; 0 if either has no length."""
+    return dot(unit(a), unit(b))

@@ -13,7 +13,7 @@ _OFFSET, _PRIME, _WORD = 2166136261, 16777619, 1 << 32
 
 def strip(x: Column) -> Column:
     """Without white space at both ends (also tabs and line ends)."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\r\f\v"))
 
 
 def collapse(x: Column) -> Column:
@@ -80,6 +80,11 @@ def score_text(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fixed(clamp(x), 2), "0+$", ""), r"\.$", "")
 
 
+def bare_score(x: Column) -> Column:
+    """As ``score_text``, but 0 is blank."""
+    return F.regexp_replace(score_text(x), "^0$", "")
+
+
 def contains_any(x: Column, cues: list[str]) -> Column:
     """Whether a text holds any of the cues."""
     return reduce(lambda a, b: a | b, (F.contains(x, F.lit(c)) for c in cues))

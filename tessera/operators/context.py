@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lists import unique
 from tessera.functions.text import clamp, collapse, contains_any, first_non_blank, fixed, join_or, path_label, sentence, strip, truncate, winner, with_likelihood
+from tessera.plans.scratch import small
 
 ITEMS, SUMMARY_CHARS, BUDGET = 6, 180, 2200
 
 
 def memory_context(results: DataFrame, items: int = ITEMS, chars: int = SUMMARY_CHARS, budget: int = BUDGET) -> DataFrame:
     """(query_id, ids, omitted): results in rank order, each summary once; what doesn't fit the
-    number or the running budget counts as omitted and the scan goes on."""
+    number or the running budget counts as omitted and the scan goes on.
+
+    Of the summaries of one length only the first ``items`` can be taken, as earlier ones fit wherever a
+    later one does; so the fold sees at most ``chars * items`` rows a query, whatever its results."""
     text = first_non_blank(F.col("summary"), F.col("raw_text"))
-    rows = F.array_sort(F.collect_list(F.struct("rank", "id", F.lower(text).alias("key"), F.length(truncate(text, chars)).cast("bigint").alias("n"))))
-    lists = results.groupBy("query_id").agg(rows.alias("rows"))
+    own = results.select("query_id", "rank", "id", F.lower(text).alias("key"), F.length(truncate(text, chars)).cast("bigint").alias("n"))
+    once = own.groupBy("query_id", "key").agg(F.min(F.struct("rank", "id", "n")).alias("r")).select("query_id", "r.*")
+    first = once.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "n").orderBy("rank")))
+    row = F.when(F.col("k") <= items, F.struct("rank", "id", "n"))
+    lists = first.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count("*").alias("distinct"))
     id_type = lists.schema["rows"].dataType.elementType["id"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{id_type}>").alias("ids"), F.array().cast("array<string>").alias("seen"), F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("omitted"))
+    start = F.struct(F.array().cast(f"array<{id_type}>").alias("ids"), F.lit(0).cast("bigint").alias("used"))
 
     def step(a: Column, r: Column) -> Column:
-        known = F.array_contains(a["seen"], r["key"])
-        full = (F.size(a["ids"]) >= items) | (a["used"] + r["n"] > budget)
-        add = ~known & ~full
-        return F.struct(F.when(add, F.concat(a["ids"], F.array(r["id"]))).otherwise(a["ids"]).alias("ids"), F.when(known, a["seen"]).otherwise(F.concat(a["seen"], F.array(r["key"]))).alias("seen"), F.when(add, a["used"] + r["n"]).otherwise(a["used"]).alias("used"), (a["omitted"] + F.when(~known & full, 1).otherwise(0)).alias("omitted"))
+        add = (F.size(a["ids"]) < items) & (a["used"] + r["n"] <= budget)
+        return F.struct(F.when(add, F.concat(a["ids"], F.array(r["id"]))).otherwise(a["ids"]).alias("ids"), F.when(add, a["used"] + r["n"]).otherwise(a["used"]).alias("used"))
 
-    return lists.withColumn("f", F.aggregate("rows", start, step)).select("query_id", F.col("f.ids").alias("ids"), F.col("f.omitted").alias("omitted"))
+    done = lists.withColumn("ids", F.aggregate("rows", start, step)["ids"])
+    return done.select("query_id", "ids", (F.col("distinct") - F.size("ids")).alias("omitted"))
 
 
 def top_lines(lines: DataFrame, key: str, order: str, cap: int = ITEMS) -> DataFrame:
@@ -49,6 +55,58 @@ def mentions(results: DataFrame, column: str) -> DataFrame:
     return results.select("query_id", "rank", F.posexplode(column).alias("pos", "name"))
 
 
+def packet_names(packets: DataFrame, results: DataFrame, column: str) -> DataFrame:
+    """(query_id, names): the names that a packet asks for and then those of its results in rank order,
+    each once. Results of a query are bounded by the search's limit."""
+    rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", column))).alias("r"))
+    held = F.flatten(F.transform("r", lambda x: x[column]))
+    none = F.array().cast("array<string>")
+    return packets.join(rows, "query_id", "left").select("query_id", unique(F.concat(F.coalesce(F.col(column), none), F.coalesce(held, none))).alias("names"))
+
+
+def name_context(packets: DataFrame, results: DataFrame, column: str, lines: DataFrame | None = None, cap: int = ITEMS) -> DataFrame:
+    """(query_id, pos, line): first ready ``lines`` (query_id, pos, line), then for each name that
+    the packet asks for its best ranked result not told by then, then all names of all results in rank
+    order; each line once, at most ``cap``."""
+    line = lambda name: F.concat(name, F.lit(": "), truncate(F.col("summary"), 120))
+    told = results.select("query_id", "rank", "summary", F.posexplode(column).alias("at", "name"))
+    asked = packets.select("query_id", F.posexplode(column).alias("ask", "wanted"))
+    ready = lines.select("query_id", F.lit(0).alias("phase"), F.col("pos").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "line") if lines is not None else None
+    hits = asked.join(told, ["query_id"]).filter(F.lower(strip(F.col("name"))) == F.lower(strip(F.col("wanted"))))
+    hits = hits.select("query_id", "ask", "rank", line(F.col("wanted")).alias("line")).withColumn("_k", F.lower("line"))
+    if ready is not None:
+        hits = hits.join(ready.select("query_id", F.lower(strip(F.col("line"))).alias("_k")), ["query_id", "_k"], "left_anti")
+    first = hits.groupBy("query_id", "ask").agg(F.min_by("line", "rank").alias("line"))
+    rows = first.select("query_id", F.lit(1).alias("phase"), F.col("ask").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "line")
+    rows = rows.unionByName(told.select("query_id", F.lit(2).alias("phase"), F.col("rank").cast("bigint").alias("a"), F.col("at").cast("bigint").alias("b"), line(F.col("name")).alias("line")))
+    if ready is not None:
+        rows = rows.unionByName(ready)
+    return top_lines(rows.select("query_id", "line", F.struct("phase", "a", "b").alias("at")), "query_id", "at", cap)
+
+
+def context_packet(packets: DataFrame, results: DataFrame, model_lines: DataFrame, belief_lines: DataFrame) -> DataFrame:
+    """The context of each packet (query_id, mode, goal, query, people, topics) from its ranked results and the
+    lines (query_id, pos, line) of models and beliefs, for ``render_prompt``: memory_lines, omitted,
+    people_context, topic_context and belief_context, each within its budget. Results are those of a search,
+    so at most its limit a query."""
+    kept = memory_context(results)
+    short = results.select("query_id", "id", truncate(first_non_blank(F.col("summary"), F.col("raw_text")), SUMMARY_CHARS).alias("text"))
+    memory = kept.select("query_id", F.posexplode("ids").alias("pos", "id")).join(short, ["query_id", "id"])
+    gather = lambda df, name: df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias(name))
+    parts = [
+        gather(memory.select("query_id", "pos", F.col("text").alias("line")), "memory_lines"),
+        gather(name_context(packets, results, "people", model_lines), "people_context"),
+        gather(name_context(packets, results, "topics"), "topic_context"),
+        gather(top_lines(belief_lines, "query_id", "pos"), "belief_context"),
+    ]
+    out = packets.join(kept.select("query_id", "omitted"), "query_id", "left")
+    for p in parts:
+        out = out.join(p, "query_id", "left")
+    none = F.array().cast("array<string>")
+    lists = [c.columns[1] for c in parts]
+    return out.withColumns({c: F.coalesce(F.col(c), none) for c in lists} | {"omitted": F.coalesce("omitted", F.lit(0))})
+
+
 def edges_with_evidence(edges: DataFrame, memories: DataFrame, newest: int = 100) -> DataFrame:
     """Of the newest edges those whose evidence has one of the memories (a semi join)."""
     recent = edges.orderBy(F.desc("seq")).limit(newest)
@@ -173,6 +231,13 @@ def cue_present(output: Column, cue: Column) -> Column:
     return (needle != "") & (F.contains(hay, needle) | F.forall(F.split(collapse(needle), " "), lambda t: F.contains(hay, t)))
 
 
+def cue_hits(outputs: DataFrame, cues: DataFrame, id: str) -> DataFrame:
+    """(id, hits, misses) of outputs (id, case_id, output) held against the cues (case_id, cue) of their
+    case. Cues are few a case and texts are long, so the texts stay where they are while cues are small."""
+    own = outputs.join(small(cues), "case_id").select(id, cue_present(F.col("output"), F.col("cue")).alias("hit"))
+    return own.groupBy(id).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
 def word_count(text: Column) -> Column:
     """A15"""
     t = collapse(F.coalesce(text, F.lit("")))
@@ -233,22 +298,3 @@ def limiter_key(subject: Column, ip: Column) -> Column:
     """T03"""
     named = lambda tag, x: F.when(strip(x) != "", F.concat(F.lit(tag), strip(x)))
     return F.coalesce(named("subject:", subject), named("ip:", ip), F.lit("unknown"))
-
-
-def sliding_log(requests: DataFrame, limit: int = 60, window_seconds: float = 60.0) -> DataFrame:
-    """(event_id, allowed, retry_after) by client, in order of time. A request is allowed while
-    fewer than ``limit`` allowed ones lie in the window before it; rejected ones don't count. As
-    rejections feed back, each client's sorted log is folded once."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("t"), "event_id")))
-    lists = requests.groupBy("client").agg(rows.alias("rows"))
-    out_type = "array<struct<event_id:bigint,allowed:boolean,retry_after:double>>"
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast(out_type).alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        log = F.filter(a["log"], lambda t: t >= r["t"] - window_seconds)
-        ok = F.size(log) < limit
-        wait = F.when(ok, 0.0).otherwise(F.greatest(F.get(log, F.lit(0)) + window_seconds - r["t"], F.lit(1.0)))
-        row = F.struct(r["event_id"].alias("event_id"), ok.alias("allowed"), F.round(wait, 3).alias("retry_after"))
-        return F.struct(F.when(ok, F.concat(log, F.array(r["t"]))).otherwise(log).alias("log"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return lists.select("client", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("client", "o.*")

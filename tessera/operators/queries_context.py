@@ -14,36 +14,37 @@ _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _NORM = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
 _TRUNC = lambda x, n: f"(case when length({_STRIP(x)}) <= {n} then {_STRIP(x)} else substr({_STRIP(x)}, 1, {n - 3}) || '...' end)"
 _UNIQ = lambda xs: f"list_filter(list_transform({xs}, lambda x: {_STRIP('x')}), lambda x, i: x <> '' and list_position(list_transform({xs}, lambda y: lower({_STRIP('y')})), lower(x)) = i)"
-_RES = "res as (select user_id as query_id, id, row_number() over (partition by user_id order by importance desc, id) as rank, case when id % 6 = 0 then '' else substr(summary, 1, 20 + (id % 3)::int * 60) end as summary, raw_text, people, topics, confidence from memory_items)"
+_RES = "res as (select user_id as query_id, id, row_number() over (partition by user_id order by importance desc, id) as rank, case when id % 6 = 0 then '' else summary end as summary, raw_text, people, topics, confidence from memory_items)"
 
 
 def results(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy(F.desc("importance"), "id")
-    short = F.when(F.col("id") % 6 == 0, "").otherwise(F.substring("summary", F.lit(1), (20 + (F.col("id") % 3) * 60).cast("int")))
+    short = F.when(F.col("id") % 6 == 0, "").otherwise(F.col("summary"))
     m = memory_items(spark, d).withColumn("query_id", F.col("user_id")).withColumn("rank", F.row_number().over(w))
     return m.withColumn("summary", short)
 
 
 _CTX = f"""{_RES}, r0 as (select *, case when {_STRIP('summary')} <> '' then {_STRIP('summary')} else {_STRIP('raw_text')} end as t from res),
-    r1 as (select query_id, list({{'ids': [id], 'seen': [lower(t)], 'used': length({_TRUNC('t', 180)}), 'omitted': 0::bigint}} order by rank) as rows from r0 where rank <= 150 group by query_id),
+    r1 as (select query_id, list({{'ids': [id], 'seen': [lower(t)], 'used': length({_TRUNC('t', 180)}), 'omitted': 0::bigint}} order by rank) as rows from r0 group by query_id),
     r2 as (select query_id, list_reduce(rows, lambda a, r: case when list_contains(a.seen, r.seen[1]) then a
-        when len(a.ids) >= 6 or a.used + r.used > 700 then {{'ids': a.ids, 'seen': list_append(a.seen, r.seen[1]), 'used': a.used, 'omitted': a.omitted + 1}}
+        when len(a.ids) >= 6 or a.used + r.used > {context.BUDGET} then {{'ids': a.ids, 'seen': list_append(a.seen, r.seen[1]), 'used': a.used, 'omitted': a.omitted + 1}}
         else {{'ids': list_append(a.ids, r.ids[1]), 'seen': list_append(a.seen, r.seen[1]), 'used': a.used + r.used, 'omitted': a.omitted}} end) as f from r1)"""
 
 
 @query("a08_context_budget", f"with {_CTX} select query_id, f.ids as ids, f.omitted as omitted from r2")
 def a08(spark, d):
-    return context.memory_context(results(spark, d).filter("rank <= 150"), budget=700)
+    return context.memory_context(results(spark, d))
 
 
-@query("a07_context_lines", f"""with l as (select user_id, case when id % 2 = 0 then upper(topics[2]) else topics[2] end as line, id as pos from memory_items),
+@query("a07_context_lines", f"""with l as (select user_id, case when id % 2 = 0 then upper(t) else t end as line, id * 10 + i as pos from (select user_id, id, unnest(topics) as t, unnest(range(2)) as i from memory_items)),
     f as (select user_id, lower(line) as k, arg_min(line, pos) as line, min(pos) as p from l group by 1, 2)
     select user_id, row_number() over (partition by user_id order by p)::bigint as pos, line from f qualify pos <= 6""")
 def a07(spark, d):
     m = memory_items(spark, d)
-    lines = m.select("user_id", F.when(F.col("id") % 2 == 0, F.upper(F.col("topics")[1])).otherwise(F.col("topics")[1]).alias("line"), F.col("id").alias("pos"))
+    topics = m.select("user_id", "id", F.posexplode("topics").alias("i", "t"))
+    lines = topics.select("user_id", F.when(F.col("id") % 2 == 0, F.upper("t")).otherwise(F.col("t")).alias("line"), (F.col("id") * 10 + F.col("i")).alias("pos"))
     return context.top_lines(lines, "user_id", "pos").withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -79,11 +80,12 @@ def j12(spark, d):
     return gold.join(found, ["case_id", "id"], "left_semi").groupBy("case_id").agg(F.count("*").alias("hits"))
 
 
-@query("j13_evidence_keys", "select id, [id, id + 1] as ids from memory_items where id % 50 = 0")
+@query("j13_evidence_keys", "select id, [id, id + 1] as ids from memory_items")
 def j13(spark, d):
     m = memory_items(spark, d)
-    rows = m.filter("id % 50 = 0").select("id", F.array(F.concat(F.lit("k"), F.col("id").cast("string")), F.concat(F.lit("k"), (F.col("id") + 1).cast("string"))).alias("keys"))
-    return ingest.resolve_keys(rows, spark.range(0, 10_000_000, 1).filter("id <= 3000").select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("value")))
+    rows = m.select("id", F.array(F.concat(F.lit("k"), F.col("id").cast("string")), F.concat(F.lit("k"), (F.col("id") + 1).cast("string"))).alias("keys"))
+    known = m.select("id").union(m.select(F.col("id") + 1)).distinct()
+    return ingest.resolve_keys(rows, known.select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("value")))
 
 
 @query("j14_single_entity", "select id, case when id % 2 = 0 then id % 11 end as person from memory_items")
@@ -99,10 +101,10 @@ def j15(spark, d):
     return ingest.owned(messages(spark, d), owners, "session_id", F.lit(3)).select("session_id", "seq", "user_id")
 
 
-@query("p16_foreign_owner", "select id from memory_items where user_id = 1 and id in (1, 2, 6, 11)")
+@query("p16_foreign_owner", "select id from memory_items where user_id = id * 3 % 7")
 def p16(spark, d):
-    wanted = spark.createDataFrame([(1, 1), (2, 1), (6, 1), (11, 1)], "id bigint, user_id bigint")
-    return memory_items(spark, d).join(F.broadcast(wanted), ["id", "user_id"], "left_semi").select("id")
+    m = memory_items(spark, d)
+    return ingest.owned_by(m, m.select("id", (F.col("id") * 3 % 7).alias("user_id")), "id").select("id")
 
 
 @query("p17_role_selection", "select session_id, seq from messages where role = 'user'")
@@ -178,21 +180,20 @@ def p15(spark, d):
 def f33(spark, d):
     m = memory_items(spark, d)
     none = F.array().cast("array<string>")
-    p = m.select(F.col("id").alias("query_id"), F.lit("normal_answer").alias("mode"), F.substring("summary", 1, 30).alias("goal"), F.substring("summary", 1, 60).alias("query"), "topics", F.array(F.substring("summary", 1, 80)).alias("memory_lines"), none.alias("people_context"), F.col("topics").alias("topic_context"), none.alias("belief_context"), (F.col("id") % 3).alias("omitted"))
+    p = m.select(F.col("id").alias("query_id"), F.lit("normal_answer").alias("mode"), F.array_join("topics", " ").alias("goal"), F.col("summary").alias("query"), "topics", F.array("summary").alias("memory_lines"), none.alias("people_context"), F.col("topics").alias("topic_context"), none.alias("belief_context"), (F.col("id") % 3).alias("omitted"))
     return context.render_prompt(p)
 
 
-_CUES = "c as (select item_id, array_to_string(regexp_extract_all(text, '[^\\s]+')[1:2], ' ') as cue from benchmark)"
+_CUES = "c as (select item_id, case when item_id % 3 = 0 then text else regexp_replace(text, '\\s.*\\s', ' ', 's') end as cue from benchmark)"
 _HIT = "(lower(trim(cue)) <> '' and (contains(lower(text), lower(cue)) or len(list_filter(string_split(lower(cue), ' '), lambda t: not contains(lower(text), t))) = 0))"
 
 
-@query("a14_cue_hits", f"with {_CUES} select doc_id, count(*) filter (where {_HIT}) as hits, count(*) filter (where not {_HIT}) as misses from documents, c group by doc_id")
+@query("a14_cue_hits", f"with {_CUES} select doc_id, count(*) filter (where {_HIT}) as hits, count(*) filter (where not {_HIT}) as misses from documents join c on doc_id % 40 = item_id % 40 group by doc_id")
 def a14(spark, d):
-    cue = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)), 1, 2), " ")
-    cues = table(spark, d, "benchmark").agg(F.collect_list(cue).alias("cues"))
-    docs = table(spark, d, "documents").crossJoin(F.broadcast(cues))
-    hits = F.size(F.filter("cues", lambda c: context.cue_present(F.col("text"), c))).cast("bigint")
-    return docs.select("doc_id", hits.alias("hits"), (F.size("cues") - hits).cast("bigint").alias("misses"))
+    ends = F.regexp_replace("text", r"(?s)\s.*\s", " ")
+    cues = table(spark, d, "benchmark").select((F.col("item_id") % 40).alias("case_id"), F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(ends).alias("cue"))
+    outputs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("case_id"), F.col("text").alias("output"))
+    return context.cue_hits(outputs, cues, "doc_id")
 
 
 @query("a13_precision_coverage", """with g as (select id % 3 as case_id, id from memory_items where importance > 0.9), r as (select id % 3 as case_id, id from memory_items where utility > 0.6)
@@ -274,11 +275,6 @@ def f20(spark, d):
     return requests(spark, d).select("event_id", text.path_label(F.col("path")).alias("route"))
 
 
-@query("t01_sliding_log", None)
-def t01(spark, d):
-    return context.sliding_log(requests(spark, d), 5, 86400.0)
-
-
 @query("t03_limiter_key", "select event_id, case when event_id % 3 = 0 then 'subject:s' || client when event_id % 3 = 1 then 'ip:10.0.0.1' else 'unknown' end as key from requests")
 def t03(spark, d):
     k = F.col("event_id") % 3

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.config import Scoring, Search
-from tessera.functions.lists import folded_member, jaccard, trimmed_overlap
+from tessera.functions.lists import folded_member, trimmed_overlap
 from tessera.functions.text import TOKEN, token_set
-from tessera.operators import rerank, retrieval
+from tessera.operators import models, rerank, retrieval
 from tessera.plans.registry import query
+from tessera.plans.scratch import small
 from tessera.sources.views import AS_OF, memory_items, moment, search_queries
 
 CONFIG = Search(limit=10)
@@ -34,10 +35,11 @@ HYBRID = f"""fused as (select query_id, id, round(sum(s), 9) as hybrid from (sel
 SCORED = f"""scored as (select h.query_id, h.id, h.hybrid, coalesce(d.dense, 0) as dense, coalesce(s.sparse, 0) as sparse, round(h.hybrid / max(h.hybrid) over (partition by h.query_id), 9) as retrieval
     from hybrid h left join (from dense where rank <= {CONFIG.candidates}) d on h.query_id = d.query_id and h.id = d.id left join (from sparse where rank <= {CONFIG.candidates}) s on h.query_id = s.query_id and h.id = s.id)"""
 W = Scoring().normalized()
-_GOAL = f"""(case when len({_SET("goal")}) = 0 then 0 else len(list_intersect({_SET("goal")}, {_SET("concat_ws(' ', m.summary, m.raw_text, array_to_string(m.people, ' '), array_to_string(m.topics, ' '), m.memory_type)")})) / len({_SET("goal")}) end)"""
+_GOAL = lambda goal: f"""(case when len({_SET(goal)}) = 0 then 0 else len(list_intersect({_SET(goal)}, {_SET("concat_ws(' ', m.summary, m.raw_text, array_to_string(m.people, ' '), array_to_string(m.topics, ' '), m.memory_type)")})) / len({_SET(goal)}) end)"""
+_ASKED = "case when trim(goal) = '' then query else goal end"
 _REC = "exp(-ln(2) * (epoch(make_timestamp(1706745600 * 1000000::bigint)) - epoch(created_at)) / 86400 / 30)"
 _FINAL = f"round({W['retrieval']!r} * retrieval + {W['recency']!r} * recency + {W['importance']!r} * importance + {W['utility']!r} * utility + {W['goal']!r} * goal_relevance + {W['belief_impact']!r} * belief_impact + {W['confidence']!r} * confidence, 9)"
-FINAL = f"""feat as (select s.*, m.summary, m.created_at, m.importance, m.utility, m.belief_impact, m.confidence, round({_REC}, 9) as recency, round({_GOAL}, 9) as goal_relevance
+FINAL = f"""feat as (select s.*, m.summary, m.created_at, m.importance, m.utility, m.belief_impact, m.confidence, round({_REC}, 9) as recency, round({_GOAL(_ASKED)}, 9) as goal_relevance
         from scored s join memory_items m on m.id = s.id join search_queries q on q.query_id = s.query_id where m.confidence >= q.min_confidence and (m.expires_at is null or m.expires_at >= {NOW})),
     fin as (select *, {_FINAL} as final from feat), placed as (select *, row_number() over (partition by query_id order by final desc, retrieval desc, created_at desc, id) as place from fin)"""
 _STEP = _JAC("k.tokens", "x[1].tokens")
@@ -94,27 +96,29 @@ def v09(spark, d):
     return memory_items(spark, d).select("id", F.round(rerank.recency(F.col("created_at"), _as_of()), 9).alias("recency"))
 
 
-@query("v10_goal_relevance", f"select query_id, m.id, round({_GOAL}, 9) as goal_relevance from search_queries q join memory_items m on m.user_id = q.user_id")
+@query("v10_goal_relevance", f"select query_id, m.id, round({_GOAL("goal")}, 9) as goal_relevance from search_queries q join memory_items m on m.user_id = q.user_id")
 def v10(spark, d):
-    pairs = search_queries(spark, d).join(memory_items(spark, d), "user_id")
+    pairs = small(search_queries(spark, d).select("query_id", "user_id", "goal")).join(memory_items(spark, d), "user_id")
     return pairs.select("query_id", "id", F.round(rerank.goal_relevance(F.col("goal"), F.col("summary"), F.col("raw_text"), F.col("people"), F.col("topics"), F.col("memory_type")), 9).alias("goal_relevance"))
 
 
-@query("v11_summary_jaccard", f"with t as (select id, user_id, {_SET('summary')} as tokens from memory_items) select a.id as a, b.id as b, round({_JAC('a.tokens', 'b.tokens')}, 9) as similarity from t a join t b on a.user_id = b.user_id and a.id < b.id where {_JAC('a.tokens', 'b.tokens')} > 0.1")
+_SORTED = f"list_sort({_SET('summary')})"
+
+
+@query("v11_summary_jaccard", f"""with t as (select id, user_id, {_SORTED} as tokens from memory_items), r as (select min(id) as id, user_id, tokens from t where len(tokens) > 0 group by user_id, tokens)
+    select r.id as a, t.id as b, 1::double as similarity from t join r on t.user_id = r.user_id and t.tokens = r.tokens where t.id <> r.id
+    union all select a.id, b.id, round({_JAC('a.tokens', 'b.tokens')}, 9) from r a join r b on a.user_id = b.user_id and a.id < b.id where {_JAC('a.tokens', 'b.tokens')} >= {Scoring().threshold}""")
 def v11(spark, d):
-    t = memory_items(spark, d).select("id", "user_id", token_set(F.col("summary")).alias("tokens"))
-    a, b = t.alias("a"), t.alias("b")
-    pairs = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), jaccard(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"))
-    return pairs.filter("similarity > 0.1").withColumn("similarity", F.round("similarity", 9))
+    return rerank.similar_summaries(memory_items(spark, d), Scoring())
 
 
 _PLACED = "placed as (select user_id as query_id, id, summary, importance as final, row_number() over (partition by user_id order by importance desc, utility desc, created_at desc, id) as place from memory_items)"
 
 
-@query("v14_greedy_redundancy", f"with {_PLACED.replace('from memory_items)', 'from memory_items qualify place <= 200)')}, {GREEDY(50, 0.3)} select query_id, k.id as id, rank::bigint as rank, k.final as final, round(k.sim, 9) as max_similarity from kept")
+@query("v14_greedy_redundancy", f"with {_PLACED}, {GREEDY(50, 0.82)} select query_id, k.id as id, rank::bigint as rank, k.final as final, round(k.sim, 9) as max_similarity from kept")
 def v14(spark, d):
     m = memory_items(spark, d).select(F.col("user_id").alias("query_id"), "id", "summary", "created_at", F.col("importance").alias("final"), F.col("utility").alias("retrieval"))
-    return rerank.greedy(rerank.ranked(m).filter("place <= 200"), 50, Scoring(redundancy=0.3))
+    return rerank.greedy(rerank.ranked(m), 50)
 
 
 @query("p01_tenant_filter", "select id from memory_items where user_id = 3")
@@ -124,7 +128,7 @@ def p01(spark, d):
 
 @query("p02_memory_type", "select id from memory_items where memory_type = 'outcome'")
 def p02(spark, d):
-    return memory_items(spark, d).filter(F.col("memory_type") == F.trim(F.lit(" outcome "))).select("id")
+    return memory_items(spark, d).filter(retrieval.of_type(F.col("memory_type"), F.lit(" outcome "))).select("id")
 
 
 @query("p03_people_any", "select id from memory_items where list_has_any(people, ['p1', 'p4'])")
@@ -139,17 +143,17 @@ def p04(spark, d):
 
 @query("p05_confidence_range", "select id from memory_items where confidence >= 0.6")
 def p05(spark, d):
-    return memory_items(spark, d).filter("confidence >= 0.6").select("id")
+    return memory_items(spark, d).filter(retrieval.confident(F.col("confidence"), F.lit(0.6))).select("id")
 
 
-_TEXT = "lower('summarize the risk for the ' || case when doc_id % 2 = 0 then 'committee ' else 'team ' end || substr(text, 1, 80))"
+_TEXT = "lower('summarize the risk for the ' || case when doc_id % 2 = 0 then 'committee ' else 'team ' end || text)"
 _ANY = lambda cues: " or ".join(f"contains({_TEXT}, '{c}')" for c in cues)
 
 
 @query("p06_people_filter_relaxation", f"select doc_id, not (doc_id % 3 > 0 and ({_ANY(retrieval.STATE_CUES)}) and ({_ANY(retrieval.GUIDE_CUES)})) as needed from documents")
 def p06(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    text = F.concat(F.lit("summarize the risk for the "), F.when(F.col("doc_id") % 2 == 0, "committee ").otherwise("team "), F.substring("text", 1, 80))
+    text = F.concat(F.lit("summarize the risk for the "), F.when(F.col("doc_id") % 2 == 0, "committee ").otherwise("team "), "text")
     topics = F.when(F.col("doc_id") % 3 > 0, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>"))
     return docs.select("doc_id", retrieval.people_filter_needed(text, F.lit(""), F.array(F.lit("dana")), topics).alias("needed"))
 
@@ -173,12 +177,12 @@ def p09(spark, d):
 
 @query("p10_belief_gate", "select id from memory_items where belief_impact > 0 or memory_type in ('belief_update', 'outcome')")
 def p10(spark, d):
-    return memory_items(spark, d).filter((F.col("belief_impact") > 0) | F.col("memory_type").isin("belief_update", "outcome")).select("id")
+    return memory_items(spark, d).filter(models.bears_belief(F.col("belief_impact"), F.col("memory_type"))).select("id")
 
 
 @query("p11_person_model_gate", "select id from memory_items where len(people) > 0 and len(topics) > 0")
 def p11(spark, d):
-    return memory_items(spark, d).filter((F.size("people") > 0) & (F.size("topics") > 0)).select("id")
+    return memory_items(spark, d).filter(models.bears_models(F.col("people"), F.col("topics"))).select("id")
 
 
 @query("f04_token_sets", f"select doc_id, list_sort({_SET('text')}) as tokens from documents")

@@ -230,12 +230,11 @@ def a01_replay(spark, d):
     return models.person_topic_models(twice.unionByName(again)).select("person", "topic", "niceness", "confidence", "evidence_count", "last_observed_at")
 
 
-@query("a01_incremental", f"with {_MODELS} select person, topic, round(niceness, 4) as niceness, round(confidence, 4) as confidence, evidence_count, last_observed_at from models")
+@query("a01_incremental", f"with {_MODELS} select * from models")
 def a01_incremental(spark, d):
     o = observations(spark, d)
-    prior = models.person_topic_models(o.filter("memory_id % 2 = 0"), places=15)
-    out = models.person_topic_models(o.filter("memory_id % 2 = 1"), prior)
-    return out.select("person", "topic", F.round("niceness", 4).alias("niceness"), F.round("confidence", 4).alias("confidence"), "evidence_count", "last_observed_at")
+    early, late = o.filter("memory_id % 2 = 0"), o.filter("memory_id % 2 = 1 or memory_id % 20 = 0")  # with replays
+    return models.models_of(models.model_state(late, models.model_state(early), early))
 
 
 @query("a02_evidence_union", "select person, topic, list(memory_id::varchar order by s) as evidence from (select person, topic, memory_id, min(seq) as s from observations group by all) group by person, topic")
@@ -252,7 +251,7 @@ def a03(spark, d):
 
 
 @query("f10_person_summary", f"""with {_MODELS} select person, topic, person || ' on ' || topic || ': working estimate only; ' || {" || ', ' || ".join(f"'{s} ' || case when {s} >= 0.7 then 'high' when {s} <= 0.35 then 'low' else 'mixed' end" for s in models.SCORES[:4])}
-    || '; confidence=' || regexp_replace(regexp_replace(printf('%.2f', confidence), '0+$', ''), '\\.$', '') || '; evidence_count=' || evidence_count || '. Topic-specific and uncertain.' as summary from models""")
+    || '; confidence=' || regexp_replace(regexp_replace(regexp_replace(printf('%.2f', confidence), '0+$', ''), '\\.$', ''), '^0$', '') || '; evidence_count=' || evidence_count || '. Treat as topic-specific and uncertain.' as summary from models""")
 def f10(spark, d):
     m = models.person_topic_models(observations(spark, d))
     return m.select("person", "topic", models.person_lines(m).alias("summary"))
@@ -272,6 +271,16 @@ def a04(spark, d):
     return models.fold_beliefs(belief_observations(spark, d)).drop("stance_history")
 
 
+@query("t04_incremental_beliefs", f"with {_BELIEFS} select user_id, topic_id, claim, f.s as stance, round(f.c, 9) as confidence, f.n as evidence_count, f.x as contradiction, last_observed_at from beliefs")
+def t04(spark, d):
+    b = belief_observations(spark, d)
+    late = F.col("memory_id") > F.lit(b.agg(F.avg("memory_id")).first()[0])
+    early = b.filter(~late).withColumn("key", normalize_name(F.col("claim")))
+    replayed = b.filter(~late & (F.col("memory_id") % 7 == 0)).withColumn("seq", F.col("seq") + 10**15)
+    state = models.belief_state(b.filter(late).unionByName(replayed), models.belief_state(early.drop("key")), early)
+    return models.beliefs_of(state).drop("stance_history")
+
+
 @query("a06_stance_fold", f"with {_BELIEFS} select user_id, topic_id, f.s as stance, f.x as contradiction from beliefs")
 def a06(spark, d):
     return models.fold_beliefs(belief_observations(spark, d)).select("user_id", "topic_id", "stance", "contradiction")
@@ -279,7 +288,7 @@ def a06(spark, d):
 
 @query("j04_belief_topic", f"""with {_BELIEFS} select user_id, topic_id, claim, case topic_id when 1 then 'ASIA "x"' else 'general' end as topic,
     case topic_id when 1 then 'ASIA "x"' else 'general' end || ': claim "' || claim || '" is ' || case f.s when 'supports' then 'currently supported' when 'weakens' then 'currently weakened' when 'contradicts' then 'currently contradicted' else 'currently uncertain' end
-    || ' (confidence=' || regexp_replace(regexp_replace(printf('%.2f', round(f.c, 9)), '0+$', ''), '\\.$', '') || ', evidence_count=' || f.n || ').' || case when f.x then ' Evidence conflicts; treat as uncertain.' else '' end as summary from beliefs""")
+    || ' (confidence=' || regexp_replace(regexp_replace(printf('%.2f', round(f.c, 9)), '0+$', ''), '\\.$', '') || ', evidence_count=' || f.n || ').' || case when f.x then ' Conflicting evidence exists, so treat this as uncertain.' else '' end as summary from beliefs""")
 def j04(spark, d):
     topics = spark.range(1, 2).select(F.col("id").alias("topic_id"), F.lit('ASIA "x"').alias("name"))
     return models.belief_view(models.fold_beliefs(belief_observations(spark, d)), topics)
@@ -298,29 +307,30 @@ def j05(spark, d):
     return models.requested(models.person_topic_models(observations(spark, d)), F.broadcast(names), entities).select("pos", "name", "person", "topic", "evidence_count")
 
 
-_ENT = "ent as (select p_partkey as id, 'Part ' || p_partkey as name, ['part  ' || (p_partkey + 1), 'alias ' || (p_partkey % 9)] as aliases from part where p_partkey <= 40)"
+_ENT = "ent as (select p_partkey as id, 'Part ' || p_partkey as name, ['part  ' || (p_partkey + 1), 'alias ' || (p_partkey % 9)] as aliases from part)"
 
 
 @query("j06_alias_resolution", f"""with {_ENT}, k as (select {_NORM('name')} as k, 0 as p, id from ent union all select {_NORM('unnest(aliases)')}, unnest([1, 2]), id from ent),
-    n as (select distinct 'PART ' || (doc_id % 60) as name from documents union select 'Alias  ' || (doc_id % 12) from documents)
+    n as (select distinct 'PART ' || l_partkey as name from lineitem union select 'Alias  ' || (l_suppkey % 12) from lineitem union select 'PART ' || (o_orderkey + 1) from orders)
     select name, arg_min(id, p * 1000000 + id) as id from n join k on {_NORM('name')} = k group by name""")
 def j06(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 40")
+    p = table(spark, d, "part")
     ent = p.select(F.lit(1).alias("user_id"), F.col("p_partkey").alias("id"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("name"), F.array(F.concat(F.lit("part  "), (F.col("p_partkey") + 1).cast("string")), F.concat(F.lit("alias "), (F.col("p_partkey") % 9).cast("string"))).alias("aliases"))
-    docs = table(spark, d, "documents")
-    n = docs.select(F.concat(F.lit("PART "), (F.col("doc_id") % 60).cast("string")).alias("name")).union(docs.select(F.concat(F.lit("Alias  "), (F.col("doc_id") % 12).cast("string")))).distinct()
+    li = table(spark, d, "lineitem")
+    tail = lambda head, c: F.concat(F.lit(head), c.cast("string")).alias("name")
+    n = li.select(tail("PART ", F.col("l_partkey"))).union(li.select(tail("Alias  ", F.col("l_suppkey") % 12))).union(table(spark, d, "orders").select(tail("PART ", F.col("o_orderkey") + 1))).distinct()
     return models.resolve_names(n.withColumn("user_id", F.lit(1)), ent, ["user_id"]).select("name", "id")
 
 
 @query("j07_belief_topic_resolution", f"""with {_ENT}, k as (select {_NORM('name')} as k, 0 as p, id from ent union all select {_NORM('unnest(aliases)')}, unnest([1, 2]), id from ent),
     r as (select arg_min(id, p * 1000000 + id) as id, k from k group by k)
-    select doc_id, coalesce(r.id, -1)::bigint as topic from documents left join r on 'part ' || (doc_id % 60) = k""")
+    select o_orderkey, coalesce(r.id, -1)::bigint as topic from orders left join r on 'part ' || (o_custkey + 1) = k""")
 def j07(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 40")
+    p = table(spark, d, "part")
     ent = p.select(F.lit(1).alias("user_id"), F.col("p_partkey").alias("id"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("name"), F.array(F.concat(F.lit("part  "), (F.col("p_partkey") + 1).cast("string")), F.concat(F.lit("alias "), (F.col("p_partkey") % 9).cast("string"))).alias("aliases"))
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("PART  "), (F.col("doc_id") % 60).cast("string")).alias("name"))
+    docs = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("PART  "), (F.col("o_custkey") + 1).cast("string")).alias("name"))
     found = models.resolve_names(docs.select("name").distinct().withColumn("user_id", F.lit(1)), ent, ["user_id"])
-    return docs.join(found, "name", "left").select("doc_id", F.coalesce("id", F.lit(-1)).cast("bigint").alias("topic"))
+    return docs.join(found, "name", "left").select("o_orderkey", F.coalesce("id", F.lit(-1)).cast("bigint").alias("topic"))
 
 
 @query("u04_union_once", "select id, case when min(o) = 0 then 'first' else 'second' end as origin from (select id, 0 as o from memory_items where id % 2 = 0 union all select id, 1 from memory_items where id % 3 = 0) group by id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Scoring
 from tessera.functions.lists import jaccard, overlap_share
 from tessera.functions.text import clamp, first_non_blank, token_set
+from tessera.plans.scratch import Scratch
 
 PLACES = 9
 
@@ -46,22 +47,73 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w))
 
 
-def greedy(placed: DataFrame, limit: int, scoring: Scoring = Scoring()) -> DataFrame:
-    """In rank order, skips what is too similar to anything kept before, up to ``limit``.
-
-    (query_id, id, rank, final, max_similarity). One row a query folds over its candidates, of which
-    there are at most 200, inside the JVM."""
+def similar_summaries(memories: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
+    """(a, b, similarity) of one tenant's memories whose summaries' token sets are as similar as the
+    greedy walk takes for redundant.
+
+    Memories of equal sets are one class, told by pairs of its smallest id with the others; other pairs
+    are of classes. Two sets of a Jaccard similarity of t share t of the tokens of either, so at least one
+    among the rarest 1 - t of each: only those are joined, within the tenant, and frequent words aren't
+    among them."""
+    t, scratch = scoring.threshold, Scratch(memories.sparkSession, "similar")
+    own = memories.select("id", "user_id", F.array_sort(token_set(F.col("summary"))).alias("tokens")).filter(F.size("tokens") > 0)
+    own = scratch.write(own.withColumn("key", F.sha2(F.array_join("tokens", " "), 256)), "sets")
+    classes = scratch.write(own.groupBy("user_id", "key").agg(F.min("id").alias("node"), F.any_value("tokens").alias("tokens")), "classes")
+    copies = own.join(classes.select("user_id", "key", "node"), ["user_id", "key"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    words = classes.select("user_id", "node", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    shared = words.groupBy("user_id", "w").agg(F.count("*").alias("df")).filter("df > 1")
+    held = words.join(shared, ["user_id", "w"]).groupBy("user_id", "node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("held"))
+    rare = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - F.ceil(F.lit(t - 1e-9) * F.col("n")) + 1).cast("int"))
+    lists = scratch.write(held.select("user_id", "node", "n", F.explode(rare).alias("x")).select("user_id", "node", "n", F.col("x.w").alias("w")), "lists")
+    other = lists.select("user_id", "w", F.col("node").alias("b"), F.col("n").alias("o"))
+    near = lists.join(other, ["user_id", "w"]).filter((F.col("node") < F.col("b")) & (F.least("n", "o") >= F.lit(t - 1e-9) * F.greatest("n", "o"))).select(F.col("node").alias("a"), "b").distinct()
+    sets = classes.select("node", "tokens")
+    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    pairs = pairs.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= t)
+    return copies.unionByName(pairs.withColumn("similarity", F.round("similarity", PLACES)))
+
+
+#: Results of a query that one pass of the greedy walk looks at; a search has no more candidates.
+BLOCK = 200
+
+
+def _walk(rows: DataFrame, kept: DataFrame | None, limit: int, threshold: float) -> DataFrame:
+    """(query_id, kept) after the rows of one block, at most BLOCK a query, folded inside the JVM."""
     row = F.struct("place", F.col("id").alias("id"), "final", token_set(F.col("summary")).alias("tokens"))
-    lists = placed.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = lists.schema["rows"].dataType.elementType
-    id_type = kind["id"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<id:{id_type},rank:int,final:double,max_similarity:double,tokens:array<string>>>")
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    id_type = lists.schema["rows"].dataType.elementType["id"].dataType.simpleString()
+    kind = f"array<struct<id:{id_type},rank:int,final:double,max_similarity:double,tokens:array<string>>>"
+    start = F.array().cast(kind)
+    if kept is not None:
+        lists, start = lists.join(kept, "query_id", "full"), F.coalesce("kept", start)
 
     def step(kept: Column, x: Column) -> Column:
         worst = F.coalesce(F.array_max(F.transform(kept, lambda k: jaccard(k["tokens"], x["tokens"]))), F.lit(0.0))
         own = F.struct(x["id"].alias("id"), (F.size(kept) + 1).alias("rank"), x["final"].alias("final"), worst.alias("max_similarity"), x["tokens"].alias("tokens"))
-        full = (F.size(kept) >= limit) | ((F.size(kept) > 0) & (worst >= scoring.threshold))
-        return F.when(full, kept).otherwise(F.concat(kept, F.array(own)))
+        return F.when(F.size(kept) >= limit, kept).when((F.size(kept) > 0) & (worst >= threshold), kept).otherwise(F.concat(kept, F.array(own)))
+
+    none = F.array().cast(lists.schema["rows"].dataType)
+    return lists.select("query_id", F.aggregate(F.coalesce("rows", none), start, step).alias("kept"))
+
+
+def greedy(placed: DataFrame, limit: int, scoring: Scoring = Scoring(), most: int | None = None) -> DataFrame:
+    """In rank order, skips what is too similar to anything kept before, up to ``limit``.
 
-    kept = lists.select("query_id", F.explode(F.aggregate("rows", empty, step)).alias("k"))
-    return kept.select("query_id", F.col("k.id").alias("id"), F.col("k.rank").cast("bigint").alias("rank"), F.col("k.final").alias("final"), F.round("k.max_similarity", PLACES).alias("max_similarity"))
+    (query_id, id, rank, final, max_similarity). The walk goes on in blocks of BLOCK results a query until
+    each query has its limit or no more results, so no array grows with a query's list. ``most`` says that
+    no query has more results than that; with up to BLOCK it is one lazy pass."""
+    if most is not None and most <= BLOCK:
+        kept = _walk(placed, None, limit, scoring.threshold)
+    else:
+        scratch = Scratch(placed.sparkSession, "greedy")
+        rest = scratch.write(placed.select("query_id", "id", "place", "final", "summary"), "placed")
+        kept, block = None, 0
+        while not rest.isEmpty():
+            kept = scratch.write(_walk(rest.filter(F.col("place") <= (block + 1) * BLOCK), kept, limit, scoring.threshold), f"kept{block}")
+            open_ = kept.filter(F.size("kept") < limit).select("query_id")
+            block += 1
+            rest = scratch.write(rest.filter(F.col("place") > block * BLOCK).join(open_, "query_id", "left_semi"), f"rest{block}")
+        if kept is None:
+            kept = _walk(placed, None, limit, scoring.threshold)
+    flat = kept.select("query_id", F.explode("kept").alias("k"))
+    return flat.select("query_id", F.col("k.id").alias("id"), F.col("k.rank").cast("bigint").alias("rank"), F.col("k.final").alias("final"), F.round("k.max_similarity", PLACES).alias("max_similarity"))

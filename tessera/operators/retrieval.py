@@ -1,7 +1,8 @@
 """Hybrid retrieval for batches of queries: filters, dense and sparse top-k, rank fusion.
 
-Queries are the small side: they are broadcast behind a check of their number, so the memories are
-scanned in place and only scored pairs inside the cut are shuffled, by query.
+Queries are broadcast where they are stored in few bytes, so the memories are scanned in place and only
+scored pairs inside the cut are shuffled, by query; beyond that both sides meet by tenant. ``candidates``
+writes the queries, and the two lists that are used twice, once.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Scoring, Search
-from tessera.functions.lists import cosine
-from tessera.functions.text import clamp, contains_any, hash_token, tokens
+from tessera.functions.lists import dot, unit
+from tessera.functions.text import clamp, contains_any, hash_token, strip, tokens
 from tessera.operators.rerank import features, greedy, ranked
-from tessera.plans.scratch import small
+from tessera.plans.scratch import Scratch, small
 
 STATE_CUES = "approval current delay incident issue launch migration risk rollout status summarize summary timeline".split()
 GUIDE_CUES = ["board", "committee", "emphasize to", "leadership", "stakeholder", "what to emphasize"]
@@ -24,6 +25,17 @@ def any_match(column: Column, wanted: Column) -> Column:
     return F.coalesce(F.size(wanted) <= 0, F.lit(True)) | F.arrays_overlap(column, wanted)
 
 
+def of_type(column: Column, wanted: Column) -> Column:
+    """The type asked for, stripped, or no type asked for."""
+    asked = strip(F.coalesce(wanted, F.lit("")))
+    return (asked == "") | (column == asked)
+
+
+def confident(column: Column, least: Column) -> Column:
+    """At least the clamped threshold."""
+    return column >= clamp(least)
+
+
 def people_filter_needed(query: Column, goal: Column, people: Column, topics: Column) -> Column:
     """People are required, unless topics are given too and the text asks about the state of a
     project on behalf of stakeholders."""
@@ -38,11 +50,15 @@ def unexpired(expires_at: Column, as_of: Column) -> Column:
 
 
 def sparse_vector(text: Column) -> Column:
-    """A map of token hash to count in ascending order of the hash; tokens whose hashes collide
-    add up."""
-    hashes = F.transform(tokens(text), hash_token)
-    keys = F.array_sort(F.array_distinct(hashes))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(hashes, lambda h: h == k)).cast("double")))
+    """A map of token hash to count in ascending order of the hash; tokens whose hashes collide
+    add up. Runs of the sorted hashes are counted, so it costs no more than the sort."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(starts), lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), F.transform(at, lambda i, k: (F.coalesce(F.get(at, k + 1), n) - i).cast("double"))))[0]
+
+    return F.transform(F.array(F.array_sort(F.transform(tokens(text), hash_token))), runs)[0]
 
 
 def sparse_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,14 +66,12 @@ def sparse_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.transform(tokens(F.col(text)), hash_token)).alias("idx")).groupBy(key, "idx").agg(F.count("*").cast("double").alias("w"))
 
 
-def eligible(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """Pairs of a query and the memories of its tenant that pass the index filters. Optional
-    columns of ``queries``: memory_type, people_any, topics_any, min_confidence."""
-    q = small(queries).alias("q")
-    on = F.col("q.user_id") == F.col("m.user_id")
-    have = queries.columns
+def _wanted(queries: DataFrame) -> Column:
+    """P01-P06 as a condition between rows of a query ``q`` and a memory ``m``. Optional columns of
+    ``queries``: memory_type, people_any, topics_any, min_confidence."""
+    on, have = F.col("q.user_id") == F.col("m.user_id"), queries.columns
     if "memory_type" in have:
-        on &= F.coalesce(F.trim("q.memory_type"), F.lit("")).isin("") | (F.col("m.memory_type") == F.trim("q.memory_type"))
+        on &= of_type(F.col("m.memory_type"), F.col("q.memory_type"))
     topics = F.col("q.topics_any") if "topics_any" in have else F.array().cast("array<string>")
     if "topics_any" in have:
         on &= any_match(F.col("m.topics"), topics)
@@ -65,8 +79,13 @@ def eligible(queries: DataFrame, memories: DataFrame) -> DataFrame:
         need = people_filter_needed(F.col("q.query"), F.col("q.goal"), F.col("q.people_any"), topics)
         on &= ~need | F.arrays_overlap(F.col("m.people"), F.col("q.people_any"))
     if "min_confidence" in have:
-        on &= F.col("m.confidence") >= clamp(F.col("q.min_confidence"))
-    return memories.alias("m").join(q, on)
+        on &= confident(F.col("m.confidence"), F.col("q.min_confidence"))
+    return on
+
+
+def eligible(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Pairs of a query and the memories of its tenant that pass the index filters."""
+    return memories.alias("m").join(small(queries).alias("q"), _wanted(queries))
 
 
 def _top(scored: DataFrame, k: int, score: str) -> DataFrame:
@@ -75,18 +94,26 @@ def _top(scored: DataFrame, k: int, score: str) -> DataFrame:
 
 
 def dense_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, dense, rank) by cosine."""
-    pairs = eligible(queries, memories)
-    return _top(pairs.select("q.query_id", "m.id", F.round(cosine(F.col("m.dense"), F.col("q.query_dense")), 6).alias("dense")), k, "dense")
+    """(query_id, id, dense, rank) by cosine. Vectors are brought to length 1 once a row, so a pair costs
+    one product."""
+    q, m = queries.withColumn("_u", unit(F.col("query_dense"))), memories.withColumn("_u", unit(F.col("dense")))
+    pairs = m.alias("m").join(small(q).alias("q"), _wanted(queries))
+    return _top(pairs.select("q.query_id", "m.id", F.round(dot(F.col("m._u"), F.col("q._u")), 6).alias("dense")), k, "dense")
 
 
 def sparse_topk(queries: DataFrame, memories: DataFrame, k: int, text: str = "summary") -> DataFrame:
-    """(query_id, id, sparse, rank) by the dot product of term frequencies, above 0."""
-    left = sparse_rows(queries, "query_id", "query").select("query_id", F.col("idx").alias("i"), F.col("w").alias("v"))
-    right = sparse_rows(memories, "id", text)
-    dots = right.join(small(left), F.col("idx") == F.col("i")).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("v")).alias("sparse"))
-    pairs = eligible(queries, memories).select("q.query_id", "m.id")
-    return _top(dots.join(pairs, ["query_id", "id"]), k, "sparse")
+    """(query_id, id, sparse, rank) by the dot product of term frequencies, above 0. Tokens meet within
+    their tenant and after the filters that a memory passes or fails for all queries alike."""
+    left = queries.select("query_id", "user_id", F.explode(F.transform(tokens(F.col("query")), hash_token)).alias("idx"))
+    left = left.groupBy("query_id", "user_id", "idx").agg(F.count("*").cast("double").alias("v"))
+    tenants = small(queries.select("user_id").distinct())
+    own = memories.join(tenants, "user_id", "left_semi").select("id", "user_id", F.explode(F.transform(tokens(F.col(text)), hash_token)).alias("idx"))
+    right = own.groupBy("id", "user_id", "idx").agg(F.count("*").cast("double").alias("w"))
+    dots = right.join(left, ["user_id", "idx"]).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("v")).alias("sparse"))
+    conditions = [c for c in ("user_id", "memory_type", "people", "topics", "confidence") if c in memories.columns]
+    held = dots.join(memories.select("id", *conditions), "id").alias("m")
+    asked = queries.drop("query_dense").withColumnRenamed("query_id", "_q")
+    return _top(held.join(small(asked).alias("q"), (F.col("m.query_id") == F.col("q._q")) & _wanted(queries)).select("m.query_id", "m.id", "m.sparse"), k, "sparse")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
@@ -110,17 +137,20 @@ def attach(hybrid: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
 def candidates(queries: DataFrame, memories: DataFrame, as_of: Column, search: Search = Search()) -> DataFrame:
     """Candidates with their memory's columns. Filters on expiry and confidence
     follow the cut, so fewer than the limit may be left."""
-    dense, sparse = dense_topk(queries, memories, search.prefetch), sparse_topk(queries, memories, search.prefetch)
+    scratch = Scratch(queries.sparkSession, "search")
+    queries = scratch.write(queries, "queries")
+    dense = scratch.write(dense_topk(queries, memories, search.prefetch), "dense")
+    sparse = scratch.write(sparse_topk(queries, memories, search.prefetch), "sparse")
     hybrid = fuse(dense, sparse, search.candidates, search.rrf_k)
     scored = attach(hybrid, dense.filter(F.col("rank") <= search.candidates), sparse.filter(F.col("rank") <= search.candidates))
     keys = queries.select("query_id", "query", "goal", *(["min_confidence"] if "min_confidence" in queries.columns else []))
     out = scored.join(memories.drop("dense"), "id").join(small(keys), "query_id")
     if "min_confidence" in keys.columns:
-        out = out.filter(F.col("confidence") >= clamp(F.col("min_confidence")))
+        out = out.filter(confident(F.col("confidence"), F.col("min_confidence")))
     return out if search.include_expired else out.filter(unexpired(F.col("expires_at"), as_of))
 
 
 def search(queries: DataFrame, memories: DataFrame, as_of: Column, config: Search = Search(), scoring: Scoring = Scoring()) -> DataFrame:
     """Ranked, de-duplicated results of each query: (query_id, id, rank, final, max_similarity)."""
     scored = features(candidates(queries, memories, as_of, config), as_of, scoring)
-    return greedy(ranked(scored), config.results, scoring)
+    return greedy(ranked(scored), config.results, scoring, most=config.candidates)

@@ -50,8 +50,10 @@ def upsert_users(df: DataFrame, order: str = "seq") -> DataFrame:
     took first is left out."""
     folded = df.groupBy("external_id").agg(F.max_by("name", order).alias("name"), F.max_by(F.when(F.col("email").isNotNull(), F.col("email")), F.when(F.col("email").isNotNull(), F.col(order))).alias("email"), F.min(order).alias("since"))
     w = Window.partitionBy("email").orderBy("since", "external_id")
-    own = folded.withColumn("n", F.when(F.col("email").isNotNull(), F.row_number().over(w)))
-    return own.select("external_id", "name", F.when(F.col("n") == 1, F.col("email")).alias("email"))
+    named = folded.filter("email is not null").withColumn("n", F.row_number().over(w))
+    named = named.select("external_id", "name", F.when(F.col("n") == 1, F.col("email")).alias("email"))
+    # users without email, who may be most, don't meet in one group
+    return named.unionByName(folded.filter("email is null").select("external_id", "name", "email"))
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -68,9 +70,14 @@ def upsert_edges(df: DataFrame, order: str = "seq") -> DataFrame:
     """Within an outcome an edge is known by its five names in lower case; the first casing and
     the last values stay, of equal times those of the larger confidence. Rows without outcome are all
     kept."""
-    lower = [F.lower(c).alias(f"_{c}") for c in EDGE]
-    known = df.filter("outcome_id is not null").groupBy("user_id", "outcome_id", *lower).agg(F.min_by(F.struct(*EDGE), order).alias("names"), F.max(F.struct(order, "confidence", "evidence")).alias("values"))
-    known = known.select("user_id", "outcome_id", "names.*", "values.*")
+    keys = ["user_id", "outcome_id", *(f"_{c}" for c in EDGE)]
+    rows = df.filter("outcome_id is not null").withColumns({f"_{c}": F.lower(c) for c in EDGE})
+    # numbers alone are aggregated, by hash and combined before the shuffle; names and evidence follow by joins
+    ends = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    met = rows.join(ends, keys)
+    top = met.filter(F.col(order) == F.col("_hi")).groupBy(*keys).agg(F.max(F.struct(order, "confidence", "evidence")).alias("values"))
+    names = met.filter(F.col(order) == F.col("_lo")).groupBy(*keys).agg(F.min(F.struct(*EDGE)).alias("names"))
+    known = names.join(top, keys).select("user_id", "outcome_id", "names.*", "values.*")
     return known.unionByName(df.filter("outcome_id is null").select(*known.columns))
 
 

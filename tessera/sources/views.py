@@ -33,17 +33,18 @@ def memory_items(spark: SparkSession, d: str) -> DataFrame:
     expiry = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 == 1, AS_OF + 864000).when(F.col("id") % 4 == 2, AS_OF - 259200).otherwise(AS_OF)
     return j.select(
         "id", (F.col("id") % 5).alias("user_id"), (F.col("id") % 23).alias("session_id"), F.element_at(kinds, (F.col("id") % 7 + 1).cast("int")).alias("memory_type"),
-        F.col("text").alias("raw_text"), F.substring("text", 1, 200).alias("summary"), F.array(F.concat(F.lit("p"), (F.col("id") % 11).cast("string"))).alias("people"), F.array("lang", "source").alias("topics"),
+        F.col("text").alias("raw_text"), F.col("text").alias("summary"), F.array(F.concat(F.lit("p"), (F.col("id") % 11).cast("string"))).alias("people"), F.array("lang", "source").alias("topics"),
         score("id", 37).alias("importance"), score("id", 53).alias("utility"), score("id", 71).alias("belief_impact"), score("id", 29).alias("confidence"),
         moment(AS_OF - F.col("id") * 3600).alias("created_at"), moment(expiry.cast("bigint")).alias("expires_at"), "dense",
     )
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
-    m = memory_items(spark, d).filter("id % 97 = 0")
+    """Every memory whose id is divisible by 20 as a query; half of them have no goal of their own."""
+    m = memory_items(spark, d).filter("id % 20 = 0")
     return m.select(
-        F.col("id").alias("query_id"), "user_id", F.col("summary").alias("query"), F.substring("summary", 1, 60).alias("goal"), F.col("dense").alias("query_dense"),
-        F.when(F.col("id") % 2 == 0, F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es"))).otherwise(F.array().cast("array<string>")).alias("topics_any"), F.lit(0.1).alias("min_confidence"),
+        F.col("id").alias("query_id"), "user_id", F.col("summary").alias("query"), F.when(F.col("id") % 40 == 0, F.concat_ws(" ", "memory_type", F.array_join("topics", " "), "summary")).otherwise(" ").alias("goal"), F.col("dense").alias("query_dense"),
+        F.when(F.col("id") % 40 == 0, F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es"))).otherwise(F.array().cast("array<string>")).alias("topics_any"), F.lit(0.1).alias("min_confidence"),
     )
 
 
@@ -92,11 +93,11 @@ VIEWS = {f.__name__: f for f in (memory_items, search_queries, observations, bel
 _KINDS = "[" + ", ".join(f"'{k}'" for k in MEMORY_TYPES) + "]"
 _TS = "make_timestamp(({}) * 1000000::bigint)"
 SQL = {
-    "memory_items": f"""select e.vec_id as id, e.vec_id % 5 as user_id, e.vec_id % 23 as session_id, {_KINDS}[1 + e.vec_id % 7] as memory_type, d.text as raw_text, substr(d.text, 1, 200) as summary,
+    "memory_items": f"""select e.vec_id as id, e.vec_id % 5 as user_id, e.vec_id % 23 as session_id, {_KINDS}[1 + e.vec_id % 7] as memory_type, d.text as raw_text, d.text as summary,
         ['p' || (e.vec_id % 11)] as people, [d.lang, d.source] as topics, (e.vec_id * 37) % 101 / 100 as importance, (e.vec_id * 53) % 101 / 100 as utility, (e.vec_id * 71) % 101 / 100 as belief_impact, (e.vec_id * 29) % 101 / 100 as confidence,
         {_TS.format(f"{AS_OF} - e.vec_id * 3600")} as created_at, case e.vec_id % 4 when 0 then null when 1 then {_TS.format(AS_OF + 864000)} when 2 then {_TS.format(AS_OF - 259200)} else {_TS.format(AS_OF)} end as expires_at,
         e.embedding::double[] as dense from embeddings e join documents d on d.doc_id = e.vec_id""",
-    "search_queries": """select id as query_id, user_id, summary as query, substr(summary, 1, 60) as goal, dense as query_dense, case when id % 2 = 0 then ['en', 'de', 'fr', 'es'] else []::varchar[] end as topics_any, 0.1::double as min_confidence from memory_items where id % 97 = 0""",
+    "search_queries": """select id as query_id, user_id, summary as query, case when id % 40 = 0 then concat_ws(' ', memory_type, array_to_string(topics, ' '), summary) else ' ' end as goal, dense as query_dense, case when id % 40 = 0 then ['en', 'de', 'fr', 'es'] else []::varchar[] end as topics_any, 0.1::double as min_confidence from memory_items where id % 20 = 0""",
     "observations": """select memory_id, person, topic, case when k = 1 then 0 else niceness end as niceness, readiness, competence, capacity, confidence, observed_at, evidence_summary, memory_id + k * 1000000000000 as seq from
         (select event_id as memory_id, user_id as person, event_type as topic, (event_id * 37) % 101 / 100 as niceness, (event_id * 53) % 101 / 100 as readiness, (event_id * 71) % 101 / 100 as competence, (event_id * 29) % 101 / 100 as capacity,
         least(value / 200, 1.0::double) as confidence, ts::timestamp as observed_at, 'seen ' || event_id as evidence_summary from events), (values (0), (1)) r(k) where k = 0 or memory_id % 10 = 0""",

@@ -15,7 +15,7 @@ def test_same_as_sql(spark, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, data, name):
-    assert catalogue.QUERIES[name](spark, data).columns
+    assert catalogue.QUERIES[name](spark, data).collect()
 
 
 def test_entry(spark):
@@ -23,3 +23,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_prompts(spark, data):
+    """F33 by a plain version, for every memory."""
+    from tessera.operators import context
+    from tessera.sources.views import memory_items
+
+    rows = {r["query_id"]: r["prompt"] for r in catalogue.QUERIES["f33_prompt_rendering"](spark, data).collect()}
+    for m in memory_items(spark, data).collect():
+        goal, text = " ".join(m["topics"]), m["summary"].strip(" \t\n\r\f\v")
+        seen = " ".join([goal, m["summary"], " ".join(m["topics"])]).lower()
+        rules = context.RULES + ([context.RISK_RULE] if any(c in seen for c in [*context.RISK_CUES, "approval", "quantified"]) else [])
+        memory = "Memory context:\n- " + m["summary"] + (f"\n- {m['id'] % 3} more memories were left out of the budget." if m["id"] % 3 else "")
+        goal_part = f"Interaction goal:\n- Goal: {goal}\n- Query: {text}" if text else f"Interaction goal:\n- {goal}"
+        want = [context.MODE_TEXT["normal_answer"], goal_part, memory, "People context:\n- No context on people.", "Topic context:\n- " + "\n- ".join(m["topics"]), "Belief context:\n- No tracked beliefs.", "\n".join(rules)]
+        assert rows[m["id"]] == "\n\n".join(want)
