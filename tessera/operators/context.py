@@ -193,7 +193,7 @@ def render_plan(plan: Column, mode: Column, risk: Column, likelihoods: Column) -
     shown = lambda s: F.when(likelihoods, F.array(F.concat(F.lit("Likelihood of success: "), fixed(s["likelihood"] * 100, 0), F.lit("%")))).otherwise(none)
     one = lambda s, i: F.concat(F.array(F.concat(F.lit("Strategy "), (i + 1).cast("string"), F.lit(" - "), s["label"])), shown(s), F.array(F.lit("Message draft:"), strip(s["message_draft"]), F.concat(F.lit("Predicted response: "), strip(s["predicted_response"])), F.concat(F.lit("Benefits: "), join_or(s["benefits"], "; ")), F.concat(F.lit("Risks: "), join_or(s["risks"], "; ")), F.concat(F.lit("Fallback: "), strip(s["fallback"]))))
     listed = F.concat(F.array(with_likelihood(F.concat(F.lit("Recommended strategy: "), best["label"]), best["likelihood"], likelihoods), F.concat(F.lit("Recommendation rationale: "), plan["rationale"])), F.flatten(F.transform(strategies, one)))
-    return F.when(mode != "communication_advice", F.array_join(listed, "\n\n")).when(risk, F.array_join(summary, "\n")).otherwise(F.array_join(advice, "\n"))
+    return F.when(plan.isNull(), None).when(mode != "communication_advice", F.array_join(listed, "\n\n")).when(risk, F.array_join(summary, "\n")).otherwise(F.array_join(advice, "\n"))
 
 
 MODE_TEXT = {

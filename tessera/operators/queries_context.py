@@ -124,19 +124,32 @@ def f28(spark, d):
 
 
 def plans(spark, d):
-    """Scenario plans made of documents: three strategies each, of which one may be blank."""
-    x = F.col("doc_id")
-    t = F.substring("text", 1, 150)
-    n = lambda k: ((x * k) % 101 / 100)
+    """Scenario plans made of documents: none to six strategies each, with blank ids, labels, drafts and
+    fallbacks, names repeated in other casings, equal scores, and recommendations that no strategy has."""
+    x, n = F.col("doc_id"), (F.col("doc_id") % 7).cast("int")
     none = F.array().cast("array<string>")
-    s = lambda id, label, draft, b, r, k: F.struct(id.alias("id"), label.alias("label"), draft.alias("message_draft"), F.concat(F.lit("reply "), x.cast("string")).alias("predicted_response"), b.alias("benefits"), r.alias("risks"), n(k).alias("likelihood_of_success"), F.lit("").alias("fallback_option"))
-    own = F.array(s(F.lit("a"), F.lit("Direct"), t, F.array(F.lit("fast"), F.lit(" FAST "), F.lit("clear")), none, 37), s(F.lit(""), F.when(x % 3 == 0, "").otherwise("Soft"), F.when(x % 3 == 0, " ").otherwise("Wait a week."), none, F.array(F.lit("slow")), 53), s(F.lit("c"), F.lit(""), F.lit("Ask for help."), none, none, 71))
-    return table(spark, d, "documents").select("doc_id", context.normalize_plan(own, F.when(x % 2 == 0, "a").otherwise("zz"), F.lit(" ")).alias("plan"))
+
+    def one(i):
+        benefits = F.slice(F.array("source", F.upper("source"), "lang", F.lit(" ")), F.lit(1), ((x + i) % 5).cast("int"))
+        risks = F.slice(F.array(F.col("lang"), F.lit("slow")), F.lit(1), ((x + i) % 3).cast("int"))
+        tail = i.cast("string")
+        return F.struct(
+            F.when((x + i) % 4 == 0, "").otherwise(F.concat(F.lit("s"), tail)).alias("id"), F.when((x * 3 + i) % 5 == 0, " ").otherwise(F.concat(F.upper("lang"), tail)).alias("label"), F.when((x + i * 2) % 3 == 0, "\t").otherwise(F.col("text")).alias("message_draft"),
+            F.concat(F.lit("reply "), x.cast("string"), F.lit("/"), tail).alias("predicted_response"), F.coalesce(benefits, none).alias("benefits"), F.coalesce(risks, none).alias("risks"), ((x * 37 + i * 17) % 14 / 10 - 0.1).alias("likelihood_of_success"), F.when((x + i) % 2 == 0, "").otherwise("wait a week").alias("fallback_option"),
+        )
+
+    own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(i.alias("i"), one(i).alias("s"))), lambda e: e["i"] < n)
+    plan = context.normalize_plan(F.transform(own, lambda e: e["s"]), F.concat(F.lit("s"), (x % 9).cast("string")), F.when(x % 2 == 0, " ").otherwise(F.col("source")))
+    return table(spark, d, "documents").select("doc_id", plan.alias("plan"))
 
 
-_N = lambda k: f"(doc_id * {k}) % 101 / 100"
-_PLAN = f"""p as (select doc_id, substr(text, 1, 150) as t, round({_N(37)} + 0.02, 9) as sa, case when doc_id % 3 = 0 then null else round({_N(53)} - 0.01, 9) end as sb, round({_N(71)}, 9) as sc from documents),
-    q as (select *, case when doc_id % 2 = 0 then 'a' when sa >= coalesce(sb, -1) and sa >= sc then 'a' when coalesce(sb, -1) >= sc then 'strategy_2' else 'c' end as best from p)"""
+_BLANK = lambda e: f"({_STRIP(e)} = '')"
+_PLAN = f"""p0 as (select *, list_transform(range(0, (doc_id % 7)::int), lambda k: {{'i': k, 'id': case when (doc_id + k) % 4 = 0 then '' else 's' || k end, 'label': case when (doc_id * 3 + k) % 5 = 0 then ' ' else upper(lang) || k end, 'draft': case when (doc_id + k * 2) % 3 = 0 then chr(9) else text end,
+        'reply': 'reply ' || doc_id || '/' || k, 'benefits': {_UNIQ("[source, upper(source), lang, ' '][1 : ((doc_id + k) % 5)::int]")}, 'risks': {_UNIQ("[lang, 'slow'][1 : ((doc_id + k) % 3)::int]")}, 'likelihood': greatest(least((doc_id * 37 + k * 17) % 14 / 10 - 0.1, 1), 0)}}) as raw from documents),
+    p1 as (select doc_id, list_filter(raw, lambda s: not ({_BLANK('s.label')} and {_BLANK('s.draft')}))[1:4] as kept from p0),
+    p2 as (select doc_id, list_transform(kept, lambda s: {{'id': case when {_BLANK('s.id')} then 'strategy_' || (s.i + 1) else s.id end, 'label': case when {_BLANK('s.label')} then 'Strategy ' || (s.i + 1) else s.label end, 'reply': s.reply, 'benefits': s.benefits, 'score': round(s.likelihood + (len(s.benefits) - len(s.risks)) * 0.01, 9)}}) as st from p1),
+    q as (select doc_id, st, case when len(st) = 0 then null when list_contains(list_transform(st, lambda s: s.id), 's' || doc_id % 9) then 's' || doc_id % 9
+        else st[list_position(list_transform(st, lambda s: s.score), list_max(list_transform(st, lambda s: s.score)))].id end as best from p2)"""
 
 
 @query("a09_strategy_argmax", f"with {_PLAN} select doc_id, best as recommended from q")
@@ -144,36 +157,35 @@ def a09(spark, d):
     return plans(spark, d).select("doc_id", F.col("plan.recommended").alias("recommended"))
 
 
-@query("a10_plan_normalisation", "select doc_id, case when doc_id % 3 = 0 then ['a', 'c'] else ['a', 'strategy_2', 'c'] end as ids, case when doc_id % 3 = 0 then ['Direct', 'Strategy 3'] else ['Direct', 'Soft', 'Strategy 3'] end as labels, ['fast', 'clear'] as benefits from documents")
+@query("a10_plan_normalisation", f"with {_PLAN} select doc_id, case when len(st) > 0 then list_transform(st, lambda s: s.id) end as ids, case when len(st) > 0 then list_transform(st, lambda s: s.label) end as labels, st[1].benefits as benefits from q")
 def a10(spark, d):
     p = plans(spark, d)
-    return p.select("doc_id", F.transform("plan.strategies", lambda s: s["id"]).alias("ids"), F.transform("plan.strategies", lambda s: s["label"]).alias("labels"), F.col("plan.strategies")[0]["benefits"].alias("benefits"))
+    return p.select("doc_id", F.transform("plan.strategies", lambda s: s["id"]).alias("ids"), F.transform("plan.strategies", lambda s: s["label"]).alias("labels"), F.get("plan.strategies", F.lit(0))["benefits"].alias("benefits"))
 
 
-@query("a12_predicted_outcome", "select doc_id, 'reply ' || doc_id as predicted from documents")
+@query("a12_predicted_outcome", f"with {_PLAN} select doc_id, coalesce(list_filter(st, lambda s: s.id = best)[1].reply, st[1].reply, '') as predicted from q")
 def a12(spark, d):
     return plans(spark, d).select("doc_id", context.predicted_outcome(F.col("plan")).alias("predicted"))
 
 
-_SENT = f"(case when {_STRIP('t')} = '' then 'No message draft available.' else {_TRUNC('t', 120)} end)"
-_PCT = lambda e: f"round_even(({e}) * 100, 0)::bigint"
-_FB = context.DEFAULT_FALLBACK
+@query("f32_plan_rendering", None)
+def f32(spark, d):
+    x = F.col("doc_id")
+    mode = F.when(x % 3 == 0, "scenario_generation").otherwise("communication_advice")
+    return plans(spark, d).select("doc_id", context.render_plan(F.col("plan"), mode, x % 3 == 1, x % 2 == 0).alias("body"))
 
 
-@query("f32_plan_rendering", f"""with {_PLAN}, r as (select *, case best when 'a' then 'Direct' when 'c' then 'Strategy 3' else 'Soft' end as label, case best when 'a' then {_STRIP('t')} when 'c' then 'Ask for help.' else 'Wait a week.' end as draft from q)
-    select doc_id, 'Executive summary:' || chr(10) || draft || chr(10) || chr(10) || 'Why this framing:' || chr(10) || 'Recommend ' || label || ': it balances fit to the goal, expected response and risk best.'
-    || case when best = 'a' then chr(10) || chr(10) || 'What to emphasize:' || chr(10) || '- fast' || chr(10) || '- clear' else '' end || case when best = 'strategy_2' then chr(10) || chr(10) || 'Watchouts:' || chr(10) || '- slow' else '' end
-    || chr(10) || chr(10) || 'Next step: {_FB}' || chr(10) || chr(10) || 'Alternative framings:' || case when best <> 'a' then chr(10) || '- Direct: ' || {_SENT} else '' end
-    || case when best <> 'strategy_2' and doc_id % 3 <> 0 then chr(10) || '- Soft: Wait a week.' else '' end || case when best <> 'c' then chr(10) || '- Strategy 3: Ask for help.' else '' end as body from r""")
-def f32(spark, d):
-    return plans(spark, d).select("doc_id", context.render_plan(F.col("plan"), F.lit("communication_advice"), F.lit(True), F.lit(False)).alias("body"))
+_ASK = "lower(coalesce(text, '') || case when doc_id % 4 = 0 then ' an Executive Summary please' when doc_id % 7 = 0 then ' what Tradeoff' else '' end || ' ' || case when doc_id % 11 = 0 then 'data migration' else lang end)"
+_CUE = lambda cues: " or ".join(f"contains({_ASK}, '{c}')" for c in cues)
 
 
-@query("p15_summary_cues", "select doc_id, doc_id % 5 = 0 or doc_id % 4 = 0 as decision, doc_id % 5 = 0 or doc_id % 3 = 0 as risk from documents")
+@query("p15_summary_cues", f"select doc_id, lower(trim(source)) in ('prepare_meeting', 'summarize_topic', 'assess_risk') or doc_id % 5 = 0 or {_CUE(context.SUMMARY_CUES)} as decision, doc_id % 5 = 0 or {_CUE(context.RISK_CUES)} as risk from documents")
 def p15(spark, d):
     x = F.col("doc_id")
-    goal, q, topics = F.when(x % 5 == 0, " Assess_Risk ").otherwise("chat"), F.when(x % 4 == 0, "an Executive Summary please").otherwise("hello"), F.array(F.when(x % 3 == 0, "data migration").otherwise("lunch"))
-    return table(spark, d, "documents").select("doc_id", context.is_decision_summary(goal, q, topics).alias("decision"), context.is_risk_summary(goal, q, topics).alias("risk"))
+    goal = F.when(x % 5 == 0, " Assess_Risk ").otherwise(F.col("source"))
+    asked = F.concat(F.coalesce("text", F.lit("")), F.when(x % 4 == 0, " an Executive Summary please").when(x % 7 == 0, " what Tradeoff").otherwise(""))
+    topics = F.array(F.when(x % 11 == 0, "data migration").otherwise(F.col("lang")))
+    return table(spark, d, "documents").select("doc_id", context.is_decision_summary(goal, asked, topics).alias("decision"), context.is_risk_summary(goal, asked, topics).alias("risk"))
 
 
 @query("f33_prompt_rendering", None)
