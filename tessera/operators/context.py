@@ -252,12 +252,22 @@ def precision_coverage(results: DataFrame, gold: DataFrame) -> DataFrame:
     return out.select("case_id", "hits", "expected", (F.col("hits") / 5).alias("precision_at_5"), (F.col("hits") / F.col("expected")).alias("coverage"))
 
 
+def prediction_error(likelihood: Column, success: Column) -> Column:
+    """The distance of estimate and outcome; 0 without an estimate."""
+    return F.when(likelihood > 0, F.abs(likelihood - success)).otherwise(0.0)
+
+
+def behaviour_changed(outcome_memory: Column, follow_up_hits: Column) -> Column:
+    """The outcome came back as a memory, or the follow-up met a cue."""
+    return outcome_memory | (follow_up_hits > 0)
+
+
 def evaluation_summary(cases: DataFrame) -> DataFrame:
     """Means over completed cases, each with its own denominator."""
     done = cases.filter("not failed")
-    gap = F.when(F.col("likelihood") > 0, F.abs(F.col("likelihood") - F.col("success"))).otherwise(0.0)
+    gap = prediction_error(F.col("likelihood"), F.col("success"))
     mean = lambda x, where: F.round(F.coalesce(F.avg(F.when(where, x)), F.lit(0.0)), 6)
-    changed = F.col("has_outcome") & (F.col("has_outcome_memory") | (F.col("follow_up_hits") > 0))
+    changed = F.col("has_outcome") & behaviour_changed(F.col("has_outcome_memory"), F.col("follow_up_hits"))
     return done.agg(F.count("*").alias("completed"), mean(F.col("precision"), F.lit(True)).alias("mean_precision"), mean(F.col("strategy"), F.col("strategy") > 0).alias("mean_strategy"), mean(F.col("success"), F.col("has_outcome")).alias("mean_success"), mean(gap, gap > 0).alias("mean_prediction_error"), F.count_if(changed).alias("behaviour_changed"), F.count_if("has_outcome").alias("evaluated"))
 
 

@@ -235,7 +235,7 @@ def a16(spark, d):
 @query("a18_prediction_error", "select o_orderkey, case when o_orderkey % 5 > 0 then abs(o_orderkey % 5 / 5 - o_orderkey % 53 / 52) else 0 end as error from orders")
 def a18(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.when(k % 5 > 0, F.abs(k % 5 / 5 - k % 53 / 52)).otherwise(0.0).alias("error"))
+    return table(spark, d, "orders").select("o_orderkey", context.prediction_error(k % 5 / 5, k % 53 / 52).alias("error"))
 
 
 @query("a17_win_tally", """select dimension, count(*) filter (where w = 'a') as augmented, count(*) filter (where w = 'b') as baseline, count(*) filter (where w = 't') as tie from (
@@ -249,7 +249,7 @@ def a17(spark, d):
 @query("a22_behaviour_changed", "select o_orderkey, o_orderkey % 3 = 0 or o_orderkey % 4 > 0 as changed from orders")
 def a22(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", ((k % 3 == 0) | (k % 4 > 0)).alias("changed"))
+    return table(spark, d, "orders").select("o_orderkey", context.behaviour_changed(k % 3 == 0, k % 4).alias("changed"))
 
 
 _IDLIKE = "(length(x) >= 32 or (length(x) - length(replace(x, '-', '')) >= 2 and length(x) >= 16) or (length(x) >= 8 and regexp_full_match(x, '[A-Za-z0-9_-]+') and regexp_matches(x, '[0-9_-]')))"
