@@ -70,14 +70,11 @@ def upsert_edges(df: DataFrame, order: str = "seq") -> DataFrame:
     """Within an outcome an edge is known by its five names in lower case; the first casing and
     the last values stay, of equal times those of the larger confidence. Rows without outcome are all
     kept."""
-    keys = ["user_id", "outcome_id", *(f"_{c}" for c in EDGE)]
-    rows = df.filter("outcome_id is not null").withColumns({f"_{c}": F.lower(c) for c in EDGE})
-    # numbers alone are aggregated, by hash and combined before the shuffle; names and evidence follow by joins
-    ends = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    met = rows.join(ends, keys)
-    top = met.filter(F.col(order) == F.col("_hi")).groupBy(*keys).agg(F.max(F.struct(order, "confidence", "evidence")).alias("values"))
-    names = met.filter(F.col(order) == F.col("_lo")).groupBy(*keys).agg(F.min(F.struct(*EDGE)).alias("names"))
-    known = names.join(top, keys).select("user_id", "outcome_id", "names.*", "values.*")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("user_id", "outcome_id")] + [F.coalesce(F.lower(c), F.lit("\0")) for c in EDGE]
+    # 128 bits stand for the seven parts of the key, so that what is shuffled and sorted by is two numbers
+    keyed = df.filter("outcome_id is not null").withColumns({"_h": F.xxhash64(*parts), "_g": F.xxhash64(F.lit("again"), *parts)})
+    known = keyed.groupBy("_h", "_g").agg(F.min(F.struct(order, *EDGE, "user_id", "outcome_id")).alias("names"), F.max(F.struct(order, "confidence", "evidence")).alias("values"))
+    known = known.select("names.user_id", "names.outcome_id", *(f"names.{c}" for c in EDGE), "values.*")
     return known.unionByName(df.filter("outcome_id is null").select(*known.columns))
 
 
