@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import by_batches
 from tessera.plans.columns import pick
 from tessera.sources.tables import table
 
@@ -208,7 +209,7 @@ def convert(archives: DataFrame, archive: str = "archive", content: str = "conte
         while rows := list(islice(found, 1000)):
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return own.mapInArrow(run, _OUT)
+    return by_batches(own, run, _OUT)
 
 
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"

@@ -22,14 +22,17 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
-from tessera.llm.chunks import gather, hash_spans, mix, runs
+from tessera.llm.chunks import gather, hash_spans, mix, pieces, runs
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Rank of what never ends.
 _END = np.int32(2**31 - 1)
 #: Slots of the table of arcs looked up before; it is overwritten, not grown.
 _ARCS = 1 << 17
+#: Characters of text whose distinct words are read together.
+TEXT_CHARS = 3_000_000
 #: Strings still open after so many bytes are read one by one once they are fewer than _FEW.
 _DEEP, _FEW = 64, 12
 
@@ -377,24 +380,51 @@ def split(texts: list[str]) -> dict:
     }
 
 
-def distinct(parts: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one word for each distinct word, and each word's place among those)."""
-    if not len(parts["start"]):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, one, at = np.unique(hash_spans(parts["data"], parts["start"], parts["length"]), return_index=True, return_inverse=True)
-    return one, at
+class Words:
+    """The distinct words of many texts, gathered piece by piece, so that each is read once."""
+
+    def __init__(self):
+        self.keys, self.data, self.lengths, self.places = [], [], [], []
+
+    def add(self, parts: dict) -> None:
+        """The words of one piece (see ``split``)."""
+        key, one, at = np.unique(hash_spans(parts["data"], parts["start"], parts["length"]), return_index=True, return_inverse=True)
+        length = parts["length"][one]
+        self.keys.append(key)
+        self.lengths.append(length)
+        self.data.append(gather(parts["data"], parts["start"][one], length))
+        self.places.append(at.astype(np.int32))
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(bytes of all distinct words; their lengths; for each piece the place of each of its words)."""
+        length = np.concatenate([np.zeros(0, np.int64), *self.lengths])
+        _, one, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.keys]), return_index=True, return_inverse=True)
+        data = np.concatenate([np.zeros(0, np.uint8), *self.data])
+        ends = np.cumsum([len(k) for k in self.keys])
+        own = [at[e - len(k) : e][p] for k, e, p in zip(self.keys, ends, self.places, strict=True)]
+        return gather(data, (np.cumsum(length) - length)[one], length[one]), length[one], own
+
+
+def _pieces(texts: list[str]) -> list[list[str]]:
+    return [own for _, own in pieces(pa.nulls(len(texts)), texts)]
 
 
 def encode(automaton: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of all texts, joined; how many each text has)."""
-    parts = split(texts)
-    one, at = distinct(parts)
-    length = parts["length"][one]
-    flat, count = automaton.tokens_of(gather(parts["data"], parts["start"][one], length), length)
+    words, per_text = Words(), []
+    for own in _pieces(texts):
+        parts = split(own)
+        words.add(parts)
+        per_text.append(parts["words"])
+    data, length, places = words.joined()
+    flat, count = automaton.tokens_of(data, length)
     offset = np.cumsum(count) - count
-    tokens = gather(flat, offset[at], count[at])
-    upto = np.concatenate([[0], np.cumsum(count[at])])
-    return tokens, np.diff(upto[np.concatenate([[0], np.cumsum(parts["words"])])])
+    tokens, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at, n in zip(places, per_text, strict=True):
+        tokens.append(gather(flat, offset[at], count[at]))
+        upto = np.concatenate([[0], np.cumsum(count[at])])
+        counts.append(np.diff(upto[np.concatenate([[0], np.cumsum(n)])]))
+    return np.concatenate(tokens), np.concatenate(counts)
 
 
 def prefix_counts(automaton: Automaton, texts: list[str]) -> np.ndarray:
@@ -403,18 +433,25 @@ def prefix_counts(automaton: Automaton, texts: list[str]) -> np.ndarray:
     c(i) = tokens of the words before + c(back) + 1 inside the word, where back is where the last token
     begins. Prefixes that end where the split of the prefix differs from that of the text (in white
     space, and between the letters of 're 've 'll) are counted as they would be split."""
-    parts = split(texts)
+    words = Words()
+    for own in _pieces(texts):
+        words.add(split(own))
+    data, length, places = words.joined()
+    flat = automaton.read(data, length, every=True)[1].astype(np.int64)
+    offset = np.cumsum(length) - length
+    found = [_piece_counts(automaton, split(own), flat, offset[at], length[at]) for own, at in zip(_pieces(texts), places, strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def _piece_counts(automaton: Automaton, parts: dict, flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The same for the texts of one piece, from the counts inside its words."""
     n = len(parts["cp"])
     if not n:
         return np.zeros(0, np.int64)
-    one, at = distinct(parts)
-    length = parts["length"][one]
-    offset = np.cumsum(length) - length
-    flat = automaton.read(gather(parts["data"], parts["start"][one], length), length, every=True)[1].astype(np.int64)
-    by_byte = gather(flat, offset[at], length[at])
+    by_byte = gather(flat, at, length)
     upto = np.cumsum(parts["width"])
     inner = by_byte[upto - 1]
-    total = flat[offset[at] + length[at] - 1]
+    total = flat[at + length - 1]
     before = np.cumsum(total) - total
     text_first = np.concatenate([[0], np.cumsum(parts["words"])[:-1]])
     has = parts["words"] > 0

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Characters of text that a kernel sees at once; one longer text makes a piece of its own.
 PIECE_CHARS = 1_000_000
@@ -23,6 +24,17 @@ def pieces(ids: pa.Array, texts: list[str], limit: int = PIECE_CHARS) -> Iterato
         yield ids.slice(start), texts[start:]
 
 
+#: Bytes of a batch that is handed to Python, so that rows of long texts don't make batches of many times that.
+BATCH_BYTES = 8_000_000
+
+
+def by_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of at most some BATCH_BYTES, whatever the length of the texts (a longer
+    row is a batch of its own)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def over_texts(kernel: Callable[..., pa.RecordBatch], limit: int = PIECE_CHARS, setup: Callable[[], object] | None = None):
     """A mapInArrow function: columns (id, text) in, what ``kernel(ids, texts)`` returns out.
     A null text reaches the kernel as an empty one. What ``setup`` makes once a task is handed to the
@@ -31,7 +43,7 @@ def over_texts(kernel: Callable[..., pa.RecordBatch], limit: int = PIECE_CHARS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (setup(),) if setup else ()
         for b in batches:
-            step = 500
+            step = max(500, limit // 2000)
             for lo in range(0, b.num_rows, step):
                 part = b.slice(lo, step)
                 texts = [x or "" for x in part.column("text").to_pylist()]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe
-from tessera.llm.chunks import over_texts
+from tessera.llm.chunks import by_batches, over_texts
 from tessera.plans.columns import pick
 from tessera.sources.tables import table
 
@@ -34,18 +34,15 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary:
 
     def kernel(ids: pa.Array, texts: list[str], automaton: bpe.Automaton) -> pa.RecordBatch:
         tokens, counts = bpe.encode(automaton, texts)
-        spelled, sizes = automaton.spell(tokens)
-        ends = np.cumsum(sizes)
-        size = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
-        data = "".join(texts).encode("utf-8", "surrogatepass")
-        if spelled.tobytes() == data and [len(x.encode()) for x in texts] == size.tolist():
-            same = [True] * len(texts)
-        else:
-            at = np.concatenate([[0], np.cumsum(size)])
-            same = [spelled[a:b].tobytes() == x.encode() for x, a, b in zip(texts, at, at[1:], strict=False)]
+        same, at = [], np.concatenate([[0], np.cumsum(counts)])
+        for lo in range(0, len(texts), 100):
+            own = [x.encode("utf-8", "surrogatepass") for x in texts[lo : lo + 100]]
+            spelled, sizes = automaton.spell(tokens[at[lo] : at[min(lo + 100, len(texts))]])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[at[lo : lo + 101] - at[lo]]
+            same += [spelled[a:b].tobytes() == x for x, a, b in zip(own, ends, ends[1:], strict=False)]
         return pa.RecordBatch.from_arrays([ids, _lists(tokens, counts), pa.array(counts, pa.int64()), pa.array(same)], names=[id, "token_ids", "n_tokens", "round_trip"])
 
-    return own.mapInArrow(over_texts(kernel, setup=lambda: bpe.Automaton(shared.value)), f"`{id}` {kind}, token_ids array<int>, n_tokens bigint, round_trip boolean")
+    return by_batches(own, over_texts(kernel, bpe.TEXT_CHARS, lambda: bpe.Automaton(shared.value)), f"`{id}` {kind}, token_ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decode(tokens: DataFrame, id: str = "doc_id", token_ids: str = "token_ids", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
@@ -67,7 +64,7 @@ def decode(tokens: DataFrame, id: str = "doc_id", token_ids: str = "token_ids",
                 texts = [b"".join([labels[t] for t in x or [] if t is not None]).decode("utf-8", "replace") for x in b.column("token_ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], names=[id, "text"])
 
-    return own.mapInArrow(run, f"`{id}` {kind}, text string")
+    return by_batches(own, run, f"`{id}` {kind}, text string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import by_batches
 from tessera.llm.mixing import hashed
 from tessera.plans.columns import pick
 from tessera.sources.tables import table
@@ -142,7 +143,7 @@ def extract(pages: DataFrame, id: str = "page_id", source: str = "html", weights
                 columns = [part.column("id"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([len(x[0].split()) for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id, "content", "score", "n_words", "n_page_words"])
 
-    return own.mapInArrow(run, f"`{id}` {kind_}, content string, score double, n_words bigint, n_page_words bigint")
+    return by_batches(own, run, f"`{id}` {kind_}, content string, score double, n_words bigint, n_page_words bigint")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import by_batches
 from tessera.llm.mixing import hashed
 from tessera.plans.columns import numbered, pick, position
 from tessera.sources.tables import table
@@ -149,7 +150,7 @@ def identify(docs: DataFrame, text: str = "text", model: dict | None = None, lea
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*b.schema.names, "_language", "_score"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields)
-    return flat.mapInArrow(run, f"{fields}, _language string, _score double")
+    return by_batches(flat, run, f"{fields}, _language string, _score double")
 
 
 def keep_known(docs: DataFrame, **kw) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import pieces
+from tessera.llm.chunks import by_batches, pieces
 from tessera.llm.words import WORDS_SQL, ngram_hashes, word_hashes
 from tessera.plans.columns import pick
 from tessera.plans.scratch import Scratch
@@ -207,7 +207,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     bits = math.ceil(math.log2(chunks))
     # a word has at least one byte and a sign behind it
     width = min(64, SPARE + max(1, math.ceil(math.log2(order * max(size, 2) / 2))))
-    kept = own.withColumn("chunk", F.pmod(F.xxhash64("text", "id"), F.lit(chunks)).cast("int")).mapInArrow(_pack_texts, _TEXTS)
+    kept = by_batches(own.withColumn("chunk", F.pmod(F.xxhash64("text", "id"), F.lit(chunks)).cast("int")), _pack_texts, _TEXTS)
     counted = kept.groupBy("chunk").applyInArrow(_explode(bits, order, width), _OUT).groupBy("ord", "bucket").applyInArrow(_count, _OUT)
     scored = kept.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(order, backoff, width), f"id {kind}, n_words bigint, n_last bigint, log_score double")
     scored = scratch.write(scored, "scores")

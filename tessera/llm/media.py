@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.chunks import runs
+from tessera.llm.chunks import by_batches, runs
 from tessera.plans.columns import pick
 from tessera.sources.tables import table
 
@@ -156,7 +156,7 @@ def fingerprint(media: DataFrame, id: str = "id", wav: str = "wav") -> DataFrame
                 columns = [part.column("id"), pa.array(rate, pa.int64()), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id, "sample_rate", "n_samples", "n_peaks", "fingerprints"])
 
-    return own.mapInArrow(run, f"`{id}` {kind}, sample_rate bigint, n_samples bigint, n_peaks bigint, fingerprints array<bigint>")
+    return by_batches(own, run, f"`{id}` {kind}, sample_rate bigint, n_samples bigint, n_peaks bigint, fingerprints array<bigint>")
 
 
 def tones(values: list[float] | None) -> bytes:
@@ -184,7 +184,7 @@ def render(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") ->
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([tones(x) for x in part.column("vector").to_pylist()], pa.binary())], names=["id", "wav"])
 
-    return own.mapInArrow(run, f"id {kind}, wav binary")
+    return by_batches(own, run, f"id {kind}, wav binary")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

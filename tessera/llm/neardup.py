@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import mix, over_texts
+from tessera.llm.chunks import by_batches, mix, over_texts
 from tessera.llm.words import WORDS_SQL, ngram_hashes, word_hashes
 from tessera.plans.columns import numbered, pick, position
 from tessera.plans.graph import components
@@ -82,7 +82,7 @@ def sketches(own: DataFrame, k: int = K) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *low])))
         return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()), lists], names=["id", "n", "h1", "h2", "sketch"])
 
-    return own.mapInArrow(over_texts(kernel), f"id {kind}, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
+    return by_batches(own, over_texts(kernel), f"id {kind}, n bigint, h1 bigint, h2 bigint, sketch array<bigint>")
 
 
 def _whole_sets(own: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _whole_sets(own: DataFrame) -> DataFrame:
     def kernel(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in shingle_sets(texts)], pa.binary())], names=["id", "set"])
 
-    return own.mapInArrow(over_texts(kernel), f"id {kind}, set binary")
+    return by_batches(own, over_texts(kernel), f"id {kind}, set binary")
 
 
 def _shingles(own: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _shingles(own: DataFrame) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["id", "values"])
 
-    return own.mapInArrow(over_texts(kernel), f"id {kind}, values array<bigint>")
+    return by_batches(own, over_texts(kernel), f"id {kind}, values array<bigint>")
 
 
 def _pairs(left: DataFrame, close: Column) -> DataFrame:
@@ -125,7 +125,7 @@ def _exact(pairs: DataFrame, kind: str, threshold: float) -> DataFrame:
                 keep.append(both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+    return by_batches(pairs, run, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = K, margin: float = MARGIN) -> DataFrame:

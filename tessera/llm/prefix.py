@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tessera.llm import bpe
-from tessera.llm.chunks import over_texts, runs
+from tessera.llm.chunks import by_batches, over_texts, runs
 from tessera.plans.columns import pick
 from tessera.sources.tables import table
 
@@ -67,7 +67,7 @@ def count_prefixes(docs: DataFrame, id: str = "doc_id", text: str = "text", budg
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in fits)], names=[id, "n_chars", "n_tokens", "prefix_deltas", *(f"fit_{b}" for b in budgets)])
 
     answers = "".join(f", fit_{b} bigint" for b in budgets)
-    return own.mapInArrow(over_texts(kernel, setup=lambda: bpe.Automaton(shared.value)), f"`{id}` {kind}, n_chars bigint, n_tokens bigint, prefix_deltas binary{answers}")
+    return by_batches(own, over_texts(kernel, bpe.TEXT_CHARS, lambda: bpe.Automaton(shared.value)), f"`{id}` {kind}, n_chars bigint, n_tokens bigint, prefix_deltas binary{answers}")
 
 
 def _stored(deltas: pd.Series, wanted: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
