@@ -11,21 +11,25 @@ the fences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.columns import numbered, position
+from tessera.plans.columns import numbered, pick, position
 from tessera.plans.scratch import Scratch, small
 from tessera.sources.tables import table
 
-SIGNS = r"[^\p{L}\p{N} \t\n\r]"
+#: The signs of ASCII and Latin-1, one by one: of such a class the regex engine makes a table.
+SIGNS = r"[!\"#$%&\x27()*+,\-./:;<=>?@\[\\\]^_`{|}~¡¦§¨©«¬®¯°±´¶·¸»¿×÷]"
 BLANKS = r"[^ \t\n\r]+"
 #: Values that a sketch holds one by one before it starts to thin them. A quantile is then off by a rank of
 #: 2.296 / k^0.9021 at most, which is 0.45 % (of 100 sketches, 99 keep it).
 SKETCH_K = 1024
-#: Words of a window in which words are held against each other, and of a passage sought in longer texts.
+#: Words of a window in which words are held against each other, and of a passage sought in longer texts (a
+#: power of 2).
 WINDOW = 1000
 PASSAGE = 8
 #: Signs and capitals of a text that don't count, and characters and words added to one, so that a name, a
@@ -51,17 +55,26 @@ def _repeats(words: Column, n: Column) -> Column:
     that it has before, all windows together cover the text. What repeats over longer distances is the
     share of passages of PASSAGE words that occurred before anywhere in the text; the larger one counts."""
 
-    def long(w: Column) -> Column:
-        near = F.transform(w, lambda x, i: F.xxhash64(x, F.floor(i / WINDOW)))
-        far = F.transform(F.sequence(F.lit(0), F.size(w) - PASSAGE), lambda i: F.xxhash64(*(w[i + k] for k in range(PASSAGE))))
-        return F.greatest(*(1 - F.size(F.array_distinct(x)) / F.size(x) for x in (near, far)))
+    def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(x), f)[0]  # so that x is made once, not for each of its uses
 
-    bound = F.transform(F.array(words), long)  # so that the words are split once, not for each of them
-    return F.when(n <= WINDOW, 1 - F.size(F.array_distinct(words)) / n).otherwise(bound[0])
+    def joined(h: Column, k: int) -> Column:
+        n = F.size(h) - k
+        return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + k, n), lambda x, y: F.xxhash64(x, y))
+
+    def long(h: Column) -> Column:
+        near, far = F.transform(h, lambda x, i: F.xxhash64(x, F.floor(i / WINDOW))), h
+        for k in (1 << i for i in range(PASSAGE.bit_length() - 1)):
+            far = bind(far, partial(lambda k, x: joined(x, k), k))
+        share = lambda x: 1 - F.size(F.array_distinct(x)) / F.size(x)
+        return F.greatest(share(near), bind(far, share))
+
+    longer = bind(F.transform(words, lambda x: F.xxhash64(x)), long)
+    return F.when(n <= WINDOW, 1 - F.size(F.array_distinct(words)) / n).otherwise(longer)
 
 
 def measures(text: Column) -> dict[str, Column]:
-    """Per document: shares of signs (neither letters, digits nor blanks) and of capitals among the
+    """Per document: shares of signs and of capitals among the
     characters, the share of words that occurred before in their window (see ``_repeats``), and characters
     a word. All are null for a null text or one of blanks only."""
     words = F.regexp_extract_all(text, F.lit(BLANKS), F.lit(0))
@@ -83,7 +96,11 @@ def fences(docs: DataFrame, lang: str = "lang", source: str = "source", text: st
     """(lang, source, n_docs, level, <rule>_min, <rule>_max...) for each language and source of ``docs``;
     null is a language or source like any other. A fence is null only where no document has a measure."""
     flat, at = numbered(docs), {k: position(docs, k) for k in (lang, source, text)}
-    own = flat.select(F.col(f"_c{at[lang]}").alias("lang"), F.col(f"_c{at[source]}").alias("source"), *(c.alias(k) for k, c in measures(F.col(f"_c{at[text]}")).items()))
+    return _fences(flat.select(F.col(f"_c{at[lang]}").alias("lang"), F.col(f"_c{at[source]}").alias("source"), *(c.alias(k) for k, c in measures(F.col(f"_c{at[text]}")).items())), rules, min_docs)
+
+
+def _fences(own: DataFrame, rules: tuple[Rule, ...], min_docs: int) -> DataFrame:
+    """The same from (lang, source, measures) of the documents."""
     sketches = own.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r.name, F.lit(SKETCH_K)).alias(r.name) for r in rules))
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r.name, F.lit(SKETCH_K)).alias(r.name) for r in rules)]
 
@@ -114,17 +131,31 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     ``measures`` and ``_keep``. The fences (one row a language and source) are written once and joined by
     broadcast if they are small, by shuffle beyond."""
     spark, flat = docs.sparkSession, numbered(docs)
-    limit = small(Scratch(spark, "quality").write(fences(docs, lang, source, text, rules, min_docs), "fences"))
-    limit = limit.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *_names(rules))
+    limit = Scratch(spark, "quality").write(fences(docs, lang, source, text, rules, min_docs), "fences")
     found = measures(F.col(f"_c{position(docs, text)}"))
     flat = flat.select("*", *(c.alias(f"_m{i}") for i, c in enumerate(found.values())))
-    names = {k: F.col(f"_m{i}") for i, k in enumerate(found)}
-    same = F.col(f"_c{position(docs, lang)}").eqNullSafe(F.col("_lang")) & F.col(f"_c{position(docs, source)}").eqNullSafe(F.col("_source"))
+    return _judged(flat, limit, f"_c{position(docs, lang)}", f"_c{position(docs, source)}", {k: f"_m{i}" for i, k in enumerate(found)}, rules)
+
+
+def _judged(rows: DataFrame, fences: DataFrame, lang: str, source: str, names: dict[str, str], rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` with ``_keep``, by the fences (a written table) of their language and source."""
+    limit = small(fences).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *_names(rules))
+    same = F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source"))
     keep = F.lit(True)
     for r in rules:
-        keep = keep & F.coalesce(names[r.name] <= F.col(f"{r.name}_max"), F.lit(False)) if r.high is not None else keep
-        keep = keep & F.coalesce(names[r.name] >= F.col(f"{r.name}_min"), F.lit(False)) if r.low is not None else keep
-    return flat.join(limit, same).withColumn("_keep", keep).drop("_lang", "_source", *_names(rules))
+        keep = keep & F.coalesce(F.col(names[r.name]) <= F.col(f"{r.name}_max"), F.lit(False)) if r.high is not None else keep
+        keep = keep & F.coalesce(F.col(names[r.name]) >= F.col(f"{r.name}_min"), F.lit(False)) if r.low is not None else keep
+    return rows.join(limit, same).withColumn("_keep", keep).drop("_lang", "_source", *_names(rules))
+
+
+def scores(docs: DataFrame, id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text", rules: tuple[Rule, ...] = RULES, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, lang, source, measures, keep) of every row of ``docs``. As the texts aren't wanted, the measures
+    are written and the texts read once; rows share the fate that ``keep_good`` gives them."""
+    own, scratch = pick(docs, id=id, lang=lang, source=source, text=text), Scratch(docs.sparkSession, "quality")
+    rows = scratch.write(own.select("id", "lang", "source", *(c.alias(k) for k, c in measures(F.col("text")).items())), "measures")
+    limit = scratch.write(_fences(rows.drop("id"), rules, min_docs), "fences")
+    out = _judged(rows, limit, "lang", "source", {r.name: r.name for r in rules}, rules)
+    return out.select(F.col("id").alias(id), "lang", "source", *(r.name for r in rules), F.col("_keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, **kw) -> DataFrame:
@@ -139,16 +170,14 @@ def keep_good(docs: DataFrame, **kw) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents within all fences, with their measures."""
-    docs = table(spark, sf_dir, "documents")
-    c = {k: f"_c{position(docs, k)}" for k in ("doc_id", "lang", "source")}
-    names = [r.name for r in RULES]
-    return judge(docs).filter("_keep").select(*(F.col(v).alias(k) for k, v in c.items()), *(F.round(f"_m{i}", 6).alias(x) for i, x in enumerate(names)))
+    kept = scores(table(spark, sf_dir, "documents")).filter("keep")
+    return kept.select("doc_id", "lang", "source", *(F.round(r.name, 6).alias(r.name) for r in RULES))
 
 
 def _sql(docs: str, min_docs: int = MIN_DOCS) -> str:
     """DuckDB SQL: rows of ``docs`` with measures and keep. Quantiles are exact, as the sketches are up
     to SKETCH_K values a group."""
-    letters = SIGNS.replace("[^", "[", 1)
+    letters = SIGNS.replace("[", "[^", 1)
     near = f"1 - len(list_distinct(list_transform(w, lambda x, i: ((i - 1) // {WINDOW}) || ' ' || x))) / len(w)"
     far = f"1 - len(list_distinct(list_transform(range(1, len(w) - {PASSAGE - 2}), lambda i: array_to_string(w[i : i + {PASSAGE - 1}], ' ')))) / (len(w) - {PASSAGE - 1})"
     ratios = f"""

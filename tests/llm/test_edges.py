@@ -29,6 +29,7 @@ OPERATORS = {
     "known": langid.keep_known,
     "encode": encoding.encode,
     "quality": quality.keep_good,
+    "scores": quality.scores,
     "prefix": prefix.count_prefixes,
     "backoff": lm.score,
     "groups": neardup.groups,
