@@ -193,6 +193,8 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: f
     rest = rest.unionByName(_pairs(again, close)).distinct().join(stars, ["a", "b"], "left_anti")
     second = similar(scratch.write(rest, "rest"), "second")
     linked = components(first.unionByName(second), scratch, "g")
+    # what is returned reads the sketches, the nodes and the last table of components
+    scratch.drop("lists", "stars", "placed", "mixed", "hot", "hot-lists", "rest", *(f"{a}{b}" for a in ("first", "second") for b in ("", "-likely")))
 
     member = sketch.select("id", "h1", "h2").join(nodes.select("h1", "h2", "node", "last"), ["h1", "h2"])
     found = member.join(linked, "node", "left").filter((F.col("node") != F.col("last")) | F.col("root").isNotNull())
