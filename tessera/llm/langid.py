@@ -59,7 +59,7 @@ def _presence(texts: list[str], place: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def _place(known: np.ndarray) -> np.ndarray:
-    out = np.full(_CODES, -1, np.int32)
+    out = np.full(_CODES, -1, np.int16 if len(known) < 1 << 15 else np.int32)
     out[known] = np.arange(len(known))
     return out
 
