@@ -15,7 +15,7 @@ AS_OF = "2026-05-10T10:00:00Z"
 
 
 def _answer(**kw):
-    return json.dumps({"summary": "Ann likes short reviews", "type": "person_preference", "people": ["Ann"], "topics": ["Reviews"], "importance": 0.8, "confidence": 0.9} | kw)
+    return json.dumps({"people": ["Ann"], "topics": ["Reviews"], "importance": 0.8, "confidence": 0.9, "type": "person_preference", "summary": "Ann likes short reviews"} | kw)
 
 
 def test_from_answers_to_a_prompt(spark):

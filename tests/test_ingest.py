@@ -44,10 +44,10 @@ def test_body_of_exactly_one_mebibyte(spark, letter):
 
 
 def test_extractions():
-    good = {"summary": " S ", "type": "outcome", "people": ["Ann", " ann ", ""], "topics": None, "entities": [{"type": "person", "name": "Ann"}, {"type": "person", "name": "ANN"}, {"type": " ", "name": "x"}, None], "importance": 7, "expires_in_days": -1}
+    good = {"summary": " S ", "type": "outcome", "people": ["Ann", " ann ", ""], "topics": None, "entities": [{"name": "Ann", "type": "person"}, {"name": "ANN", "type": "person"}, {"name": "x", "type": " "}, None], "importance": 7, "expires_in_days": -1}
     value, error = ingest.parse_extraction("```json\n" + json.dumps(good) + "\n```")
     assert error is None
-    assert value == {"summary": "S", "type": "outcome", "people": ["Ann"], "topics": [], "entities": [{"type": "person", "name": "Ann", "confidence": 0.0}], "importance": 1.0, "utility": 0.0, "belief_impact": 0.0, "confidence": 0.0, "expires_in_days": None}
+    assert value == {"summary": "S", "type": "outcome", "people": ["Ann"], "topics": [], "entities": [{"name": "Ann", "confidence": 0.0, "type": "person"}], "importance": 1.0, "utility": 0.0, "belief_impact": 0.0, "confidence": 0.0, "expires_in_days": None}
     for change, want in (({"summary": " "}, "summary is required"), ({"type": "gossip"}, "unknown type"), ({"entities": [{"type": "alien", "name": "x"}]}, "unknown entity type"), ({"more": 1}, "invalid_json"), ({"people": "Ann"}, "invalid_json")):
         assert ingest.parse_extraction(json.dumps(good | change))[1] == want
     assert ingest.parse_extraction(json.dumps(good) + json.dumps(good))[1] == "trailing_json"

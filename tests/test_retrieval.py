@@ -38,7 +38,7 @@ def test_sparse_vectors(spark):
 
 @pytest.mark.parametrize(
     ("query", "needed"),
-    [("Summarize the current migration risk for the steering committee and tell me what to emphasize to Dana.", False), ("Help me ask Alex to review the infrastructure proposal this week.", True)],
+    [("Please summarize how the migration stands for our committee, with its risk, and what to emphasize to Dana.", False), ("Help me ask Alex to review the infrastructure proposal this week.", True)],
 )
 def test_people_filter(spark, query, needed):
     names = F.array(F.lit("Dana"))
