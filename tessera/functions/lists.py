@@ -30,7 +30,8 @@ def union(*lists: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    of = lambda both: both / (F.size(a) + F.size(b) - both)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.transform(F.array(F.size(F.array_intersect(a, b))), of)[0])
 
 
 def overlap_share(wanted: Column, held: Column) -> Column:

@@ -9,7 +9,7 @@ from tessera.functions.lists import folded_member, trimmed_overlap
 from tessera.functions.text import TOKEN, token_set
 from tessera.operators import models, rerank, retrieval
 from tessera.plans.registry import query
-from tessera.plans.scratch import small
+from tessera.plans.scratch import Scratch
 from tessera.sources.views import AS_OF, memory_items, moment, search_queries
 
 CONFIG = Search(limit=10)
@@ -86,9 +86,7 @@ def v04(spark, d):
 
 @query("v06_score_attachment", f"with {PAIRS}, {DENSE}, {SPARSE}, {HYBRID}, {SCORED} select query_id, id, hybrid, dense, sparse, retrieval from scored")
 def v06(spark, d):
-    q, m = search_queries(spark, d), memory_items(spark, d)
-    dense, sparse = retrieval.dense_topk(q, m, CONFIG.prefetch), retrieval.sparse_topk(q, m, CONFIG.prefetch)
-    return retrieval.attach(retrieval.fuse(dense, sparse, CONFIG.candidates), dense.filter(F.col("rank") <= CONFIG.candidates), sparse.filter(F.col("rank") <= CONFIG.candidates))
+    return retrieval.attached(search_queries(spark, d), memory_items(spark, d), CONFIG, Scratch(spark, "attached"))
 
 
 @query("v09_recency", f"select id, round({_REC}, 9) as recency from memory_items")
@@ -98,8 +96,7 @@ def v09(spark, d):
 
 @query("v10_goal_relevance", f"select query_id, m.id, round({_GOAL("goal")}, 9) as goal_relevance from search_queries q join memory_items m on m.user_id = q.user_id")
 def v10(spark, d):
-    pairs = small(search_queries(spark, d).select("query_id", "user_id", "goal")).join(memory_items(spark, d), "user_id")
-    return pairs.select("query_id", "id", F.round(rerank.goal_relevance(F.col("goal"), F.col("summary"), F.col("raw_text"), F.col("people"), F.col("topics"), F.col("memory_type")), 9).alias("goal_relevance"))
+    return retrieval.goal_relevance(search_queries(spark, d), memory_items(spark, d))
 
 
 _SORTED = f"list_sort({_SET('summary')})"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Scoring
 from tessera.functions.lists import jaccard, overlap_share
 from tessera.functions.text import clamp, first_non_blank, token_set
+from tessera.operators.blocks import SPREAD, hashes
 from tessera.plans.scratch import Scratch
 
 PLACES = 9
@@ -24,17 +25,26 @@ def recency(created_at: Column, as_of: Column, half_life_days: float = 30.0) ->
 
 def goal_relevance(goal: Column, summary: Column, raw_text: Column, people: Column, topics: Column, memory_type: Column) -> Column:
     """Share of the goal's tokens that the memory has."""
-    held = token_set(summary, raw_text, F.array_join(people, " "), F.array_join(topics, " "), memory_type)
-    return overlap_share(token_set(goal), held)
+    return overlap_share(token_set(goal), memory_tokens(summary, raw_text, people, topics, memory_type))
+
+
+def memory_tokens(summary: Column, raw_text: Column, people: Column, topics: Column, memory_type: Column) -> Column:
+    """The tokens that a goal may find in a memory."""
+    return token_set(summary, raw_text, F.array_join(people, " "), F.array_join(topics, " "), memory_type)
 
 
 def features(candidates: DataFrame, as_of: Column, scoring: Scoring = Scoring()) -> DataFrame:
-    """Adds recency, goal_relevance and final to candidates (query_id, id, retrieval, ...)."""
+    """Adds recency, goal_relevance and final to candidates (query_id, id, retrieval, ...), by their
+    hashed tokens (goal_tokens, held_tokens) where they have them."""
     w = scoring.normalized()
-    goal = first_non_blank(F.col("goal"), F.col("query"))
+    if "goal_tokens" in candidates.columns:
+        relevance = overlap_share(F.col("goal_tokens"), F.col("held_tokens"))
+    else:
+        goal = first_non_blank(F.col("goal"), F.col("query"))
+        relevance = goal_relevance(goal, F.col("summary"), F.col("raw_text"), F.col("people"), F.col("topics"), F.col("memory_type"))
     out = candidates.withColumns({
         "recency": F.round(recency(F.col("created_at"), as_of, scoring.half_life), PLACES),
-        "goal_relevance": F.round(goal_relevance(goal, F.col("summary"), F.col("raw_text"), F.col("people"), F.col("topics"), F.col("memory_type")), PLACES),
+        "goal_relevance": F.round(relevance, PLACES),
     })
     columns = {"retrieval": "retrieval", "recency": "recency", "importance": "importance", "utility": "utility", "goal": "goal_relevance", "belief_impact": "belief_impact", "confidence": "confidence"}
     final = sum((F.lit(w[k]) * clamp(F.col(c)) for k, c in columns.items()), F.lit(0.0))
@@ -79,18 +89,20 @@ BLOCK = 200
 
 def _walk(rows: DataFrame, kept: DataFrame | None, limit: int, threshold: float) -> DataFrame:
     """(query_id, kept) after the rows of one block, at most BLOCK a query, folded inside the JVM."""
-    row = F.struct("place", F.col("id").alias("id"), "final", token_set(F.col("summary")).alias("tokens"))
-    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    tokens = F.col("summary_tokens") if "summary_tokens" in rows.columns else hashes(token_set(F.col("summary")))
+    row = F.struct("place", F.col("id").alias("id"), "final", tokens.alias("tokens"))
+    lists = rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     id_type = lists.schema["rows"].dataType.elementType["id"].dataType.simpleString()
-    kind = f"array<struct<id:{id_type},rank:int,final:double,max_similarity:double,tokens:array<string>>>"
+    kind = f"array<struct<id:{id_type},rank:int,final:double,max_similarity:double,tokens:array<bigint>>>"
     start = F.array().cast(kind)
     if kept is not None:
         lists, start = lists.join(kept, "query_id", "full"), F.coalesce("kept", start)
 
     def step(kept: Column, x: Column) -> Column:
         worst = F.coalesce(F.array_max(F.transform(kept, lambda k: jaccard(k["tokens"], x["tokens"]))), F.lit(0.0))
-        own = F.struct(x["id"].alias("id"), (F.size(kept) + 1).alias("rank"), x["final"].alias("final"), worst.alias("max_similarity"), x["tokens"].alias("tokens"))
-        return F.when(F.size(kept) >= limit, kept).when((F.size(kept) > 0) & (worst >= threshold), kept).otherwise(F.concat(kept, F.array(own)))
+        own = lambda w: F.struct(x["id"].alias("id"), (F.size(kept) + 1).alias("rank"), x["final"].alias("final"), w.alias("max_similarity"), x["tokens"].alias("tokens"))
+        more = F.transform(F.array(worst), lambda w: F.when((F.size(kept) > 0) & (w >= threshold), kept).otherwise(F.concat(kept, F.array(own(w)))))[0]
+        return F.when(F.size(kept) >= limit, kept).otherwise(more)
 
     none = F.array().cast(lists.schema["rows"].dataType)
     return lists.select("query_id", F.aggregate(F.coalesce("rows", none), start, step).alias("kept"))
@@ -106,7 +118,7 @@ def greedy(placed: DataFrame, limit: int, scoring: Scoring = Scoring(), most: in
         kept = _walk(placed, None, limit, scoring.threshold)
     else:
         scratch = Scratch(placed.sparkSession, "greedy")
-        rest = scratch.write(placed.select("query_id", "id", "place", "final", "summary"), "placed")
+        rest = scratch.write(placed.select("query_id", "id", "place", "final", hashes(token_set(F.col("summary"))).alias("summary_tokens")), "placed")
         kept, block = None, 0
         while not rest.isEmpty():
             kept = scratch.write(_walk(rest.filter(F.col("place") <= (block + 1) * BLOCK), kept, limit, scoring.threshold), f"kept{block}")

@@ -1,8 +1,7 @@
 """Hybrid retrieval for batches of queries: filters, dense and sparse top-k, rank fusion.
 
-Queries are broadcast where they are stored in few bytes, so the memories are scanned in place and only
-scored pairs inside the cut are shuffled, by query; beyond that both sides meet by tenant. ``candidates``
-writes the queries, and the two lists that are used twice, once.
+Queries and memories of a tenant meet in blocks (see ``blocks``), of which only the results inside the cut
+are shuffled, by query. ``candidates`` writes the queries, and the two lists that are used twice, once.
 """
 
 from __future__ import annotations
@@ -11,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Scoring, Search
-from tessera.functions.lists import dot, unit
-from tessera.functions.text import clamp, contains_any, hash_token, strip, tokens
-from tessera.operators.rerank import features, greedy, ranked
+from tessera.functions.lists import unit
+from tessera.functions.text import clamp, contains_any, first_non_blank, hash_token, strip, token_set, tokens
+from tessera.operators import blocks
+from tessera.operators.rerank import features, greedy, memory_tokens, ranked
 from tessera.plans.scratch import Scratch, small
 
 STATE_CUES = "approval current delay incident issue launch migration risk rollout status summarize summary timeline".split()
+#: Most queries and memories of a block, for a cut and where every pair is a result.
+BLOCK, ALL_BLOCK = (1024, 8192), (512, 4096)
 GUIDE_CUES = ["board", "committee", "emphasize to", "leadership", "stakeholder", "what to emphasize"]
 
 
@@ -93,27 +95,37 @@ def _top(scored: DataFrame, k: int, score: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _needed(queries: DataFrame) -> Column | None:
+    topics = F.col("topics_any") if "topics_any" in queries.columns else F.array().cast("array<string>")
+    return people_filter_needed(F.col("query"), F.col("goal"), F.col("people_any"), topics) if "people_any" in queries.columns else None
+
+
 def dense_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, dense, rank) by cosine. Vectors are brought to length 1 once a row, so a pair costs
-    one product."""
-    q, m = queries.withColumn("_u", unit(F.col("query_dense"))), memories.withColumn("_u", unit(F.col("dense")))
-    pairs = m.alias("m").join(small(q).alias("q"), _wanted(queries))
-    return _top(pairs.select("q.query_id", "m.id", F.round(dot(F.col("m._u"), F.col("q._u")), 6).alias("dense")), k, "dense")
+    """(query_id, id, dense, rank) by cosine. Vectors are brought to length 1 once a row, and multiplied
+    in blocks."""
+    asked, held = blocks.conditions(queries, _needed(queries))
+    q = queries.select("query_id", "user_id", unit(F.col("query_dense")).alias("_v"), *(c.alias(n) for n, c in asked.items()))
+    m = memories.select("id", "user_id", unit(F.col("dense")).alias("_v"), *(c.alias(n) for n, c in held.items()))
+    found = blocks.scored(Scratch(queries.sparkSession, "dense"), q, m, "_v", BLOCK, blocks.top(k, blocks.cosines, float("-inf")), "dense")
+    return _top(found.withColumn("dense", F.when(F.col("dense") > -2, F.col("dense"))), k, "dense")
 
 
 def sparse_topk(queries: DataFrame, memories: DataFrame, k: int, text: str = "summary") -> DataFrame:
-    """(query_id, id, sparse, rank) by the dot product of term frequencies, above 0. Tokens meet within
-    their tenant and after the filters that a memory passes or fails for all queries alike."""
-    left = queries.select("query_id", "user_id", F.explode(F.transform(tokens(F.col("query")), hash_token)).alias("idx"))
-    left = left.groupBy("query_id", "user_id", "idx").agg(F.count("*").cast("double").alias("v"))
-    tenants = small(queries.select("user_id").distinct())
-    own = memories.join(tenants, "user_id", "left_semi").select("id", "user_id", F.explode(F.transform(tokens(F.col(text)), hash_token)).alias("idx"))
-    right = own.groupBy("id", "user_id", "idx").agg(F.count("*").cast("double").alias("w"))
-    dots = right.join(left, ["user_id", "idx"]).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("v")).alias("sparse"))
-    conditions = [c for c in ("user_id", "memory_type", "people", "topics", "confidence") if c in memories.columns]
-    held = dots.join(memories.select("id", *conditions), "id").alias("m")
-    asked = queries.drop("query_dense").withColumnRenamed("query_id", "_q")
-    return _top(held.join(small(asked).alias("q"), (F.col("m.query_id") == F.col("q._q")) & _wanted(queries)).select("m.query_id", "m.id", "m.sparse"), k, "sparse")
+    """(query_id, id, sparse, rank) by the dot product of term frequencies, above 0, in blocks. Tokens are
+    told apart by 64 bits."""
+    asked, held = blocks.conditions(queries, _needed(queries))
+    q = queries.select("query_id", "user_id", blocks.hashes(tokens(F.col("query"))).alias("_t"), *(c.alias(n) for n, c in asked.items()))
+    m = memories.select("id", "user_id", blocks.hashes(tokens(F.col(text))).alias("_t"), *(c.alias(n) for n, c in held.items()))
+    found = blocks.scored(Scratch(queries.sparkSession, "sparse"), q, m, "_t", BLOCK, blocks.top(k, blocks.products, 0.0), "sparse")
+    return _top(found, k, "sparse")
+
+
+def goal_relevance(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """V10 of every query and every memory of its tenant: (query_id, id, goal_relevance). The tokens of a row are
+    found once."""
+    q = queries.select("query_id", "user_id", blocks.hashes(token_set(F.col("goal"))).alias("_t"))
+    m = memories.select("id", "user_id", blocks.hashes(memory_tokens(*map(F.col, ("summary", "raw_text", "people", "topics", "memory_type")))).alias("_t"))
+    return blocks.scored(Scratch(queries.sparkSession, "goals"), q, m, "_t", ALL_BLOCK, blocks.shares, "goal_relevance")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
@@ -134,17 +146,27 @@ def attach(hybrid: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return out.withColumn("retrieval", F.round(F.when(top > 0, F.col("hybrid") / top).otherwise(0.0), 9))
 
 
+def attached(queries: DataFrame, memories: DataFrame, search: Search, scratch: Scratch) -> DataFrame:
+    """The fused list with its scores. The two lists are used twice and written once."""
+    dense = scratch.write(dense_topk(queries, memories, search.prefetch), "dense")
+    sparse = scratch.write(sparse_topk(queries, memories, search.prefetch), "sparse")
+    hybrid = fuse(dense, sparse, search.candidates, search.rrf_k)
+    return attach(hybrid, dense.filter(F.col("rank") <= search.candidates), sparse.filter(F.col("rank") <= search.candidates))
+
+
 def candidates(queries: DataFrame, memories: DataFrame, as_of: Column, search: Search = Search()) -> DataFrame:
     """Candidates with their memory's columns. Filters on expiry and confidence
     follow the cut, so fewer than the limit may be left."""
     scratch = Scratch(queries.sparkSession, "search")
-    queries = scratch.write(queries, "queries")
-    dense = scratch.write(dense_topk(queries, memories, search.prefetch), "dense")
-    sparse = scratch.write(sparse_topk(queries, memories, search.prefetch), "sparse")
-    hybrid = fuse(dense, sparse, search.candidates, search.rrf_k)
-    scored = attach(hybrid, dense.filter(F.col("rank") <= search.candidates), sparse.filter(F.col("rank") <= search.candidates))
-    keys = queries.select("query_id", "query", "goal", *(["min_confidence"] if "min_confidence" in queries.columns else []))
-    out = scored.join(memories.drop("dense"), "id").join(small(keys), "query_id")
+    queries = scratch.write(queries.withColumn("goal_tokens", blocks.hashes(token_set(first_non_blank(F.col("goal"), F.col("query"))))), "queries")
+    found = scratch.write(attached(queries, memories, search, scratch), "found")
+    # Tokens are found once a memory and once a query, not once a pair
+    held = memories.drop("dense").join(small(found.select("id").distinct()), "id", "left_semi").withColumns({
+        "held_tokens": blocks.hashes(memory_tokens(*map(F.col, ("summary", "raw_text", "people", "topics", "memory_type")))),
+        "summary_tokens": blocks.hashes(token_set(F.col("summary"))),
+    })
+    keys = queries.select("query_id", "query", "goal", "goal_tokens", *(["min_confidence"] if "min_confidence" in queries.columns else []))
+    out = found.join(held, "id").join(small(keys), "query_id")
     if "min_confidence" in keys.columns:
         out = out.filter(confident(F.col("confidence"), F.col("min_confidence")))
     return out if search.include_expired else out.filter(unexpired(F.col("expires_at"), as_of))
