@@ -15,14 +15,27 @@ from tessera.sources.views import belief_observations, observations, requests
 from tessera.streaming import folds, limiter
 
 
+#: Rows of a file of a batch, at least, if a batch has several.
+FILE_ROWS = 200_000
+
+
 def _arriving(df: DataFrame, scratch: Scratch, order: str, files: int = 3) -> DataFrame:
-    """``df`` as a stream of files, a batch each, in order of a column."""
-    at = f"{scratch.path}/arriving"
+    """``df`` as a stream of batches, ``files`` of them, in order of a column. Each is of equally many files, so
+    that large ones are written and read by many tasks."""
+    spark, at = df.sparkSession, f"{scratch.path}/arriving"
+    df = scratch.write(df, "given")
     ends = df.stat.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
     part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in ends), F.lit(0))
-    for i in range(files):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(at)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    batches = [df.filter(part == i) for i in range(files)]
+    rows = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    each = max(1, min(4 * spark.sparkContext.defaultParallelism, min(rows.get(i, 0) for i in range(files)) // FILE_ROWS))
+    for i, batch in enumerate(batches):
+        # dealt in turn: with so many rows every file gets some
+        (batch.repartition(each) if each > 1 else batch.coalesce(1)).write.mode("append").parquet(at)
+        if len(spark.read.schema(df.schema).parquet(at).inputFiles()) != (i + 1) * each:
+            raise RuntimeError(f"batch {i} isn't of {each} files")
+    scratch.drop("given")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(at)
 
 
 def _run(stream: DataFrame, scratch: Scratch, mode: str = "append", **sink) -> None:

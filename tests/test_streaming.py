@@ -85,3 +85,16 @@ def test_stages_resume_where_they_failed(spark, tmp_path):
     got = {r["id"]: r for r in folds.resume(spark, str(tmp_path), spark.range(1, 7), stages).collect()}
     assert [(s, set(i)) for s, i in ran] == [("extract", {5, 6}), ("index", {3, 5, 6}), ("model", {3, 5, 6})]
     assert all(r["model_status"] == "completed" and r["last_error"] is None for r in got.values())
+
+
+def test_large_batches_are_of_several_files(spark, monkeypatch):
+    """A batch for each part of the order, whole, in order, and written by several tasks."""
+    from tessera.operators import queries_stream
+
+    monkeypatch.setattr(queries_stream, "FILE_ROWS", 100)
+    scratch, seen = Scratch(spark, "several"), []
+    stream = _arriving(spark.range(3000).withColumnRenamed("id", "order"), scratch, "order")
+    _run(stream, scratch, batch=lambda df, n: seen.append((sorted(r["order"] for r in df.collect()), len(df.inputFiles()))))
+    rows = [x for xs, _ in seen for x in xs]
+    assert rows == list(range(3000)) and len(seen) == 3
+    assert len(spark.read.parquet(f"{scratch.path}/arriving").inputFiles()) > 2 * len(seen)
