@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +65,16 @@ def limited_stream(requests: DataFrame, limit: int = 60, window_seconds: float =
         if state.hasTimedOut:
             state.remove()
             return
-        b = pd.concat(list(pieces)).sort_values(["ts", "event_id"])
+        own = list(pieces)
+        b = own[0] if len(own) == 1 else pd.concat(own)
+        ids, times = b["event_id"].to_numpy(), b["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6
+        order = np.lexsort((ids, times))
+        ids, times = ids[order], times[order].tolist()
         log = deque(state.get[0]) if state.exists else deque()
-        times = b["ts"].astype("int64") / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1}[getattr(b["ts"].dt, "unit", "ns")]
         found = list(walk(log, times, limit, window_seconds))
         state.update((list(log),))
-        last = float(times.iloc[-1])
+        last = times[-1]
         state.setTimeoutTimestamp(max(int((last + idle_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"client": [key[0]] * len(b), "event_id": b["event_id"], "allowed": [x for x, _ in found], "retry_after": [x for _, x in found]})
+        yield pd.DataFrame({"client": [key[0]] * len(ids), "event_id": ids, "allowed": [x for x, _ in found], "retry_after": [x for _, x in found]})
 
     return own.groupBy("client").applyInPandasWithState(run, _OUT, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
