@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.config import Scoring
 from tessera.functions.lists import jaccard, overlap_share
 from tessera.functions.text import clamp, first_non_blank, token_set
+from tessera.operators import sets
 from tessera.operators.blocks import SPREAD, hashes
-from tessera.plans.scratch import Scratch
+from tessera.plans.scratch import Scratch, small
 
 PLACES = 9
 
@@ -62,23 +63,16 @@ def similar_summaries(memories: DataFrame, scoring: Scoring = Scoring()) -> Data
     greedy walk takes for redundant.
 
     Memories of equal sets are one class, told by pairs of its smallest id with the others; other pairs
-    are of classes. Two sets of a Jaccard similarity of t share t of the tokens of either, so at least one
-    among the rarest 1 - t of each: only those are joined, within the tenant, and frequent words aren't
-    among them."""
+    are of classes. Those that may be similar are found by bits (see ``sets``), and their tokens compared."""
     t, scratch = scoring.threshold, Scratch(memories.sparkSession, "similar")
-    own = memories.select("id", "user_id", F.array_sort(token_set(F.col("summary"))).alias("tokens")).filter(F.size("tokens") > 0)
+    own = memories.select("id", "user_id", F.array_sort(token_set(F.col("summary"))).alias("tokens")).filter((F.size("tokens") > 0) & F.col("user_id").isNotNull())
     own = scratch.write(own.withColumn("key", F.sha2(F.array_join("tokens", " "), 256)), "sets")
     classes = scratch.write(own.groupBy("user_id", "key").agg(F.min("id").alias("node"), F.any_value("tokens").alias("tokens")), "classes")
     copies = own.join(classes.select("user_id", "key", "node"), ["user_id", "key"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    words = classes.select("user_id", "node", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    shared = words.groupBy("user_id", "w").agg(F.count("*").alias("df")).filter("df > 1")
-    held = words.join(shared, ["user_id", "w"]).groupBy("user_id", "node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("held"))
-    rare = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - F.ceil(F.lit(t - 1e-9) * F.col("n")) + 1).cast("int"))
-    lists = scratch.write(held.select("user_id", "node", "n", F.explode(rare).alias("x")).select("user_id", "node", "n", F.col("x.w").alias("w")), "lists")
-    other = lists.select("user_id", "w", F.col("node").alias("b"), F.col("n").alias("o"))
-    near = lists.join(other, ["user_id", "w"]).filter((F.col("node") < F.col("b")) & (F.least("n", "o") >= F.lit(t - 1e-9) * F.greatest("n", "o"))).select(F.col("node").alias("a"), "b").distinct()
-    sets = classes.select("node", "tokens")
-    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    near = scratch.write(sets.near(scratch, classes.select("user_id", "node", F.size("tokens").alias("n"), hashes(F.col("tokens")).alias("hashes")), t), "near")
+    held = classes.select("node", "tokens")
+    pairs = held.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(small(near), "a")
+    pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     pairs = pairs.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= t)
     return copies.unionByName(pairs.withColumn("similarity", F.round("similarity", PLACES)))
 
