@@ -22,6 +22,8 @@ from tessera.plans.scratch import Scratch, small
 BYTES, SPREAD = 32_000_000, 4
 #: Share of the pairs of a block that must share a token for a matrix product; other tokens add up pair by pair.
 DENSE_SHARE, SLAB, STEP = 0.005, 512, 4_000_000
+#: Queries of a matrix of scores, of which there are as many in a block as keep memories from being sent again.
+QUERIES = 1024
 
 
 def hashes(xs: Column) -> Column:
@@ -59,7 +61,8 @@ def scored(scratch: Scratch, queries: DataFrame, memories: DataFrame, payload: s
     n = small(scratch.write(blocks(q, rows[0], "_nq").join(blocks(m, rows[1], "_nm"), "user_id"), f"{value}-blocks"))
     keys = ["user_id", "_q", "_m"]
     deal = lambda df, key, own, other: df.join(n, "user_id").withColumn(f"_{own}", F.pmod(F.xxhash64(key), f"_n{own}").cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).drop("_nq", "_nm")
-    parts = SPREAD * scratch.spark.sparkContext.defaultParallelism
+    # Blocks are few and large, and lie in partitions by hash: more partitions for a more even load
+    parts = 4 * SPREAD * scratch.spark.sparkContext.defaultParallelism
     left, right = (x.repartition(parts, *keys).groupBy(*keys) for x in (deal(q, "query_id", "q", "m"), deal(m, "id", "m", "q")))
     kinds = q.schema["query_id"].dataType.simpleString(), m.schema["id"].dataType.simpleString()
     empty = pa.table({})
@@ -114,13 +117,16 @@ def allowed(asked: pa.Table, held: pa.Table) -> Callable[[int], np.ndarray]:
     return of
 
 
-def best(x: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
-    """The k places of the largest numbers among those that are ok, the first of equal ones first."""
+def best(x: np.ndarray, ok: np.ndarray, k: int, places: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k places of the largest numbers among those that are ok, the first of equal ones first, and the numbers,
+    rounded. Only those that rounding may bring among the k are rounded."""
     at = np.flatnonzero(ok)
     if len(at) > k:
         own = x[at]
-        at = at[own >= np.partition(own, len(at) - k)[len(at) - k]]
-    return at[np.argsort(-x[at], kind="stable")][:k]
+        at = at[own >= np.partition(own, len(at) - k)[len(at) - k] - (0 if places is None else 2 * 10.0**-places)]
+    own = x[at] if places is None else rounded(x[at], places)
+    order = np.argsort(-own, kind="stable")[:k]
+    return at[order], own[order]
 
 
 def rounded(x: np.ndarray, places: int) -> np.ndarray:
@@ -129,43 +135,62 @@ def rounded(x: np.ndarray, places: int) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) * by + 0.5) / by, x)
 
 
-def top(k: int, matrix: Callable[[pa.Table, pa.Table], np.ndarray], above: float) -> Callable:
-    """A ``score`` for ``scored``: the k best memories of each query with more than ``above``."""
+def top(k: int, matrix: Callable[[pa.Table], Callable[[pa.Table], np.ndarray]], above: float, places: int | None = None) -> Callable:
+    """A ``score`` for ``scored``: the k best memories of each query with more than ``above``. The matrix has QUERIES
+    queries at a time."""
 
     def score(asked: pa.Table, held: pa.Table):
-        xs, of = matrix(asked, held), allowed(asked, held)
-        at = [best(x, of(i) & (x > above), k) for i, x in enumerate(xs)]
-        i, j = np.repeat(np.arange(len(xs)), [len(a) for a in at]), np.concatenate(at)
-        yield asked, held, i, j, xs[i, j]
+        of, scores = allowed(asked, held), matrix(held)
+        for s in range(0, len(asked), QUERIES):
+            xs = scores(asked.slice(s, QUERIES))
+            found = [best(x, of(s + i) & (x > above), k, places) for i, x in enumerate(xs)]
+            i = np.repeat(np.arange(s, s + len(xs)), [len(at) for at, _ in found])
+            yield asked, held, i, np.concatenate([at for at, _ in found]), np.concatenate([x for _, x in found])
 
     return score
 
 
-def cosines(asked: pa.Table, held: pa.Table) -> np.ndarray:
-    """Products of vectors of length 1, to six places; -2 where there is none, as lengths differ."""
+def cosines(held: pa.Table) -> Callable[[pa.Table], np.ndarray]:
+    """Of queries, products of vectors of length 1 with those of memories; -2 where there is none, as lengths differ."""
+    return lambda asked: _cosines(asked, held)
+
+
+def _cosines(asked: pa.Table, held: pa.Table) -> np.ndarray:
     out = np.full((len(asked), len(held)), -2.0)
     sizes = [pc.fill_null(pc.list_value_length(t["_v"].combine_chunks()), -1).to_numpy(zero_copy_only=False) for t in (asked, held)]
     for n in np.unique(sizes[0]):
         i, j = (np.flatnonzero(s == n) for s in sizes)
         if n >= 0 and len(j):
             a, b = (t["_v"].take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for t, at in ((asked, i), (held, j)))
-            x = rounded(a @ b.T, 6)
-            out[np.ix_(i, j)] = np.where(np.isnan(x), -2.0, x)
+            x = a @ b.T
+            x[np.isnan(x)] = -2.0
+            if x.shape == out.shape:
+                return x
+            out[np.ix_(i, j)] = x
     return out
 
 
-def products(asked: pa.Table, held: pa.Table) -> np.ndarray:
-    """Products of the counts of tokens, exact. Tokens that many pairs share go through a matrix product."""
-    (i, a), (j, b) = flat(asked["_t"]), flat(held["_t"])
-    nq, nm = len(asked), len(held)
+def products(held: pa.Table) -> Callable[[pa.Table], np.ndarray]:
+    """Of queries, products of the counts of tokens with those of memories, exact. Tokens that many pairs share go
+    through a matrix product. Tokens of the memories are counted once."""
+    j, b = flat(held["_t"])
+    own, b = np.unique(b, return_inverse=True)
+    counted = _counted(j, b, len(own)) if len(own) else (j, b, np.zeros(0))
+    return lambda asked: _products(asked, own, counted, len(held))
+
+
+def _products(asked: pa.Table, known: np.ndarray, counted: tuple[np.ndarray, np.ndarray, np.ndarray], nm: int) -> np.ndarray:
+    i, a = flat(asked["_t"])
+    nq = len(asked)
     out = np.zeros((nq, nm))
     words, a = np.unique(a, return_inverse=True)
-    if not len(words) or not len(b):
+    if not len(words) or not len(known):
         return out
-    at = np.minimum(np.searchsorted(words, b), len(words) - 1)
-    keep = words[at] == b
+    at = np.minimum(np.searchsorted(words, known), len(words) - 1)
+    j, b, w = counted
+    b = np.where(words[at] == known, at, -1)[b]
+    j, b, w = (x[b >= 0] for x in (j, b, w))
     i, a, v = _counted(i, a, len(words))
-    j, b, w = _counted(j[keep], at[keep], len(words))
     nq_with, nm_with = np.bincount(a, minlength=len(words)), np.bincount(b, minlength=len(words))
     common = nq_with * nm_with > DENSE_SHARE * nq * nm
     places, many = np.cumsum(common) - 1, int(common.sum())
@@ -200,7 +225,7 @@ def _counted(rows: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, n
 def shares(asked: pa.Table, held: pa.Table):
     """A ``score``: every pair, with the share of the query's tokens that the memory has; 0 if it has none."""
     n = np.bincount(flat(asked["_t"])[0], minlength=len(asked))
-    xs = rounded(products(asked, held) / np.maximum(n, 1)[:, None], 9)
+    xs = rounded(products(held)(asked) / np.maximum(n, 1)[:, None], 9)
     j = np.arange(len(held))
     for i, x in enumerate(xs):
         yield asked, held, np.full(len(held), i), j, x

@@ -18,7 +18,7 @@ from tessera.plans.scratch import Scratch, small
 
 STATE_CUES = "approval current delay incident issue launch migration risk rollout status summarize summary timeline".split()
 #: Most queries and memories of a block, for a cut and where every pair is a result.
-BLOCK, ALL_BLOCK = (1024, 8192), (512, 4096)
+BLOCK, ALL_BLOCK = (8192, 4096), (512, 4096)
 GUIDE_CUES = ["board", "committee", "emphasize to", "leadership", "stakeholder", "what to emphasize"]
 
 
@@ -106,7 +106,7 @@ def dense_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     asked, held = blocks.conditions(queries, _needed(queries))
     q = queries.select("query_id", "user_id", unit(F.col("query_dense")).alias("_v"), *(c.alias(n) for n, c in asked.items()))
     m = memories.select("id", "user_id", unit(F.col("dense")).alias("_v"), *(c.alias(n) for n, c in held.items()))
-    found = blocks.scored(Scratch(queries.sparkSession, "dense"), q, m, "_v", BLOCK, blocks.top(k, blocks.cosines, float("-inf")), "dense")
+    found = blocks.scored(Scratch(queries.sparkSession, "dense"), q, m, "_v", BLOCK, blocks.top(k, blocks.cosines, float("-inf"), 6), "dense")
     return _top(found.withColumn("dense", F.when(F.col("dense") > -2, F.col("dense"))), k, "dense")
 
 
@@ -166,7 +166,8 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of: Column, search: S
         "summary_tokens": blocks.hashes(token_set(F.col("summary"))),
     })
     keys = queries.select("query_id", "query", "goal", "goal_tokens", *(["min_confidence"] if "min_confidence" in queries.columns else []))
-    out = found.join(held, "id").join(small(keys), "query_id")
+    # The query first: memories inside the cut have the longer texts
+    out = found.join(small(keys), "query_id").join(held, "id")
     if "min_confidence" in keys.columns:
         out = out.filter(confident(F.col("confidence"), F.col("min_confidence")))
     return out if search.include_expired else out.filter(unexpired(F.col("expires_at"), as_of))

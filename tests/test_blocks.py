@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,18 @@ def test_vectors_of_other_lengths_come_last(spark):
     q = spark.createDataFrame([(1, 0, [1.0, 0.0])], "query_id bigint, user_id bigint, query_dense array<double>")
     m = spark.createDataFrame([(1, 0, [1.0]), (2, 0, [-1.0, 0.0]), (3, 0, None), (4, 0, [2.0, 0.0])], "id bigint, user_id bigint, dense array<double>")
     assert [tuple(r) for r in retrieval.dense_topk(q, m, 9).select("id", "dense", "rank").orderBy("rank").collect()] == [(4, 1.0, 1), (2, -1.0, 2), (1, None, 3), (3, None, 4)]
+
+
+def test_thousands_of_queries_send_a_memory_once(spark):
+    from test_sets import _shuffled
+
+    q = spark.createDataFrame([(i, 0, [1.0, i / 10]) for i in range(3000)], "query_id bigint, user_id bigint, query_dense array<double>")
+    few, many = (_shuffled(spark, lambda n=n: retrieval.dense_topk(q, spark.createDataFrame([(i, 0, [i / 7, 1.0]) for i in range(n)], "id bigint, user_id bigint, dense array<double>"), 1)) for n in (500, 1500))
+    assert 1000 <= many - few < 1500
+
+
+def test_best_of_numbers_that_rounding_makes_equal():
+    x = np.array([0.1, 0.5000001, 0.5000002, 0.5, 0.5000004, 0.7])
+    for k, want in ((2, [5, 1]), (3, [5, 1, 2]), (5, [5, 1, 2, 3, 4]), (9, [5, 1, 2, 3, 4, 0])):
+        at, of = blocks.best(x, x > 0, k, 6)
+        assert list(at) == want and list(of) == [round(x[i], 6) for i in want]
